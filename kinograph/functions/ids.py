@@ -20,12 +20,15 @@ def normalize_id(column: Column | str) -> Column:
 def id_code(column: Column | str) -> Column:
     """The identifier as BIGINT, null for what is no identifier.
 
-    An identifier of more than 18 digits does not fit; it is kept, under a negative code of 62 hash bits.
+    An identifier of more than 18 digits does not fit; it is kept, under a negative code of 62 hash bits. For the others a
+    number that is written back as the same digits takes the place of a pattern match.
     """
-    normal = normalize_id(column)
-    return F.when(F.length(normal) <= MAX_DIGITS, normal.cast("bigint")).otherwise(
-        F.when(normal.isNotNull(), F.lit(-1) - F.xxhash64(normal).bitwiseAND(F.lit((1 << 62) - 1)))
-    )
+    text = (F.col(column) if isinstance(column, str) else column).cast("string")
+    digits = F.ltrim(F.trim(text, F.lit(" \t")), F.lit("0"))
+    number = digits.try_cast("bigint")
+    short = (F.length(digits) <= MAX_DIGITS) & (number > 0) & (number.cast("string") == digits)
+    long = (F.length(digits) > MAX_DIGITS) & text.rlike(ID_PATTERN)
+    return F.when(short, number).when(long, F.lit(-1) - F.xxhash64(digits).bitwiseAND(F.lit((1 << 62) - 1)))
 
 
 def content_id(dataset: str, item: Column | str) -> Column:
