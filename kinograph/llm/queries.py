@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinograph.llm.cooccurrence import item_pairs
+from kinograph.llm.packing import pack_documents
 from kinograph.llm.sequences import frequent_sequences
+from kinograph.llm.tokens import encode_texts, not_restored
 from kinograph.plans.problems import USABLE, table
 
 
@@ -27,7 +29,19 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns({"lift": F.round("lift", 9), "pmi": F.round("pmi", 9)})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p4_found, p4_pairs)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p7_not_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_restored(table(spark, sf_dir, "documents"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p4_found, p4_pairs, p7_ids, p7_not_restored, p8_containers)}
 
 PAIRS = f"""{USABLE}, ui AS (SELECT DISTINCT u, i FROM usable), total AS (SELECT count(DISTINCT u) AS n FROM ui),
 margins AS (SELECT i, count(*) AS n FROM ui GROUP BY 1),
@@ -48,6 +62,7 @@ grown AS (
 ORACLE = {
     "p1_found": f"WITH RECURSIVE {SEQUENCES} SELECT DISTINCT pattern FROM grown WHERE k > 1",
     "p1_supports": f"WITH RECURSIVE {SEQUENCES} SELECT DISTINCT pattern, users FROM grown WHERE k > 1",
+    "p7_not_restored": "SELECT doc_id FROM documents WHERE false",
     "p4_found": f"WITH {PAIRS} SELECT item_a, item_b FROM lifts WHERE users * total >= 2 * users_a * users_b",
     "p4_pairs": f"""WITH {PAIRS} SELECT item_a, item_b, users, users_a, users_b,
         round(users * CAST(total AS DOUBLE) / users_a / users_b, 9) AS lift, round(log2(users * CAST(total AS DOUBLE) / users_a / users_b), 9) AS pmi FROM lifts""",
