@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinograph.llm.cooccurrence import item_pairs
 from kinograph.llm.packing import pack_documents
+from kinograph.llm.reading import fit, reading_levels
 from kinograph.llm.sequences import frequent_sequences
 from kinograph.llm.tokens import encode_texts, not_restored
 from kinograph.plans.problems import USABLE, table
@@ -41,7 +42,16 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p4_found, p4_pairs, p7_ids, p7_not_restored, p8_containers)}
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return reading_levels(documents, fit(documents, table(spark, sf_dir, "reading_labels")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_levels(spark, sf_dir).where("level >= 3").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p4_found, p4_pairs, p7_ids, p7_not_restored, p8_containers, p9_levels, p9_found)}
 
 PAIRS = f"""{USABLE}, ui AS (SELECT DISTINCT u, i FROM usable), total AS (SELECT count(DISTINCT u) AS n FROM ui),
 margins AS (SELECT i, count(*) AS n FROM ui GROUP BY 1),
