@@ -10,6 +10,7 @@ from kinograph.llm.packing import pack_documents
 from kinograph.llm.reading import fit, reading_levels
 from kinograph.llm.sequences import frequent_sequences
 from kinograph.llm.tokens import encode_texts, not_restored
+from kinograph.llm.truncation import cut_shares, judged_outputs, storage_limits
 from kinograph.plans.problems import USABLE, table
 
 
@@ -51,7 +52,23 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_levels(spark, sf_dir).where("level >= 3").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p4_found, p4_pairs, p7_ids, p7_not_restored, p8_containers, p9_levels, p9_found)}
+def p5_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_outputs(table(spark, sf_dir, "scene_outputs"), table(spark, sf_dir, "generation_arms"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_judged(spark, sf_dir).where("cut").select("output_id")
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_shares(p5_judged(spark, sf_dir))
+
+
+def p5_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage_limits(table(spark, sf_dir, "scene_outputs").where(r"raw_output RLIKE '\\S'").select("arm", "raw_output"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p4_found, p4_pairs, p5_judged, p5_found, p5_shares, p5_limits, p7_ids, p7_not_restored, p8_containers, p9_levels, p9_found)}
 
 PAIRS = f"""{USABLE}, ui AS (SELECT DISTINCT u, i FROM usable), total AS (SELECT count(DISTINCT u) AS n FROM ui),
 margins AS (SELECT i, count(*) AS n FROM ui GROUP BY 1),
