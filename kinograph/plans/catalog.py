@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from kinograph.plans import problems
+from kinograph.plans import cohorts, media, problems
 
-FLAGSHIP = "p3_item_activity"
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+MODULES = (problems, cohorts, media)
+FLAGSHIP = "loo_split_summary"
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
