@@ -264,10 +264,10 @@ ranked AS (SELECT o.*, row_number() OVER (PARTITION BY content_id, scene_idx ORD
 uncut AS (SELECT * FROM ranked WHERE r = 1 AND error IS NULL AND raw_output IS NOT NULL AND NOT regexp_matches(coalesce(finish_reason, ''), '(?i)length|max_?tokens'))"""
 
 #: Texts that a strict reader accepts, by one pattern: names and actions without marks inside.
-_WORDS = r"[\w' -]*?[\w']"
 NATIVE = rf"""{UNCUT},
+ended AS (SELECT output_id, rtrim(raw_output, chr(32) || chr(10)) AS raw_output FROM uncut),
 sections AS (SELECT output_id, regexp_extract(raw_output, '(?s)\[Entities\]\n(.*)\n\[Actions\]', 1) AS e, regexp_extract(raw_output, '(?s)\[Actions\]\n(.*)$', 1) AS a,
-    regexp_extract(raw_output, 'medium: ([^\n]+)', 1) AS medium, regexp_extract(raw_output, 'topics: ([^\n]+)', 1) AS topics, raw_output FROM uncut),
+    regexp_extract(raw_output, 'medium: ([^\n]+)', 1) AS medium, regexp_extract(raw_output, 'topics: ([^\n]+)', 1) AS topics, raw_output FROM ended),
 rows AS (SELECT *, string_split(e, chr(10)) AS es, CASE WHEN a = 'none' THEN [] ELSE string_split(a, chr(10)) END AS acts FROM sections),
 strict AS (SELECT *, [string_split(x, '; ')[1] FOR x IN es] AS names FROM rows
     WHERE regexp_full_match(raw_output, '\[Context\]\nmedium: [^\n]+\nformat: [^\n]+\ntopics: [^\n]+\n\[Entities\]\n(?:[^\n;:\[]+(?:; [^\n;:]+)*\n)+\[Actions\]\n(?:none|[^\n;]+ - [^\n;]+ - [^\n;]+; [^\n;]+; [^\n;]+(?:\n[^\n;]+ - [^\n;]+ - [^\n;]+; [^\n;]+; [^\n;]+)*)')),
