@@ -270,8 +270,8 @@ sections AS (SELECT output_id, regexp_extract(raw_output, '(?s)\[Entities\]\n(.*
     regexp_extract(raw_output, 'medium: ([^\n]+)', 1) AS medium, regexp_extract(raw_output, 'topics: ([^\n]+)', 1) AS topics, raw_output FROM ended),
 rows AS (SELECT *, string_split(e, chr(10)) AS es, CASE WHEN a = 'none' THEN [] ELSE string_split(a, chr(10)) END AS acts FROM sections),
 strict AS (SELECT *, [string_split(x, '; ')[1] FOR x IN es] AS names FROM rows
-    WHERE regexp_full_match(raw_output, '\[Context\]\nmedium: [^\n]+\nformat: [^\n]+\ntopics: [^\n]+\n\[Entities\]\n(?:[^\n;:\[]+(?:; [^\n;:]+)*\n)+\[Actions\]\n(?:none|[^\n;]+ - [^\n;]+ - [^\n;]+; [^\n;]+; [^\n;]+(?:\n[^\n;]+ - [^\n;]+ - [^\n;]+; [^\n;]+; [^\n;]+)*)')),
-refs AS (SELECT *, list_bool_and([x IN ('none', 'unknown') OR list_contains(names, x) FOR x IN flatten([[string_split(l, ' - ')[1], string_split(string_split(l, ' - ')[3], '; ')[1], string_split(l, '; ')[2], string_split(l, '; ')[3]] FOR l IN acts])]) AS declared FROM strict)"""
+    WHERE regexp_full_match(raw_output, '\[Context\]\nmedium: [^\n]+\nformat: [^\n]+\ntopics: [^\n]+\n\[Entities\]\n(?:[^\n;:\[]+(?:; [^\n;:]+)*\n)+\[Actions\]\n(?:none|[^\n;]+ - [^\n;]+ - [^\n;]+(?:; [^\n;]+; [^\n;]+)?(?:\n[^\n;]+ - [^\n;]+ - [^\n;]+(?:; [^\n;]+; [^\n;]+)?)*)')),
+refs AS (SELECT *, list_bool_and([x IN ('none', 'unknown') OR list_contains(names, x) FOR x IN flatten([[string_split(l, ' - ')[1], string_split(string_split(l, ' - ')[3], '; ')[1], string_split(l, '; ')[2], string_split(l, '; ')[3]] FOR l IN acts]) IF x IS NOT NULL]) AS declared FROM strict)"""
 
 ORACLE = {
     "catalog_rank": f"WITH {RANKS} SELECT * FROM ranks",
@@ -304,7 +304,7 @@ ORACLE = {
     "session_windows": """WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM l)
         SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS events FROM s GROUP BY user_id, n""",
-    "vocabulary_ids": r"""WITH t AS (SELECT coalesce(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '') AS text, min(doc_id) AS p FROM documents GROUP BY 1)
+    "vocabulary_ids": r"""WITH t AS (SELECT coalesce(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '') AS text, min(doc_id) AS p FROM (SELECT doc_id, text FROM documents UNION ALL SELECT NULL, '') GROUP BY 1)
         SELECT md5(text) AS text_md5, CASE WHEN text = '' THEN 0 ELSE row_number() OVER (ORDER BY text = '', p, text) END AS text_id FROM t""",
     "native_graphs": rf"""WITH {NATIVE} SELECT output_id, len(es) AS entities, len(acts) AS actions, medium, CASE WHEN topics = 'none' THEN '' ELSE topics END AS topics FROM refs WHERE coalesce(declared, true)""",
     "scene_offsets": "WITH s AS (SELECT DISTINCT content_id, scene_idx FROM scene_outputs), n AS (SELECT *, row_number() OVER (ORDER BY content_id, scene_idx) - 1 AS r FROM s) SELECT content_id, min(r) AS first_scene, count(*) AS scenes FROM n GROUP BY 1",
