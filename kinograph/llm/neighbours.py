@@ -272,7 +272,8 @@ def neighbour_graph(
     degree = min(degree, n - 1)
     groups = max(12, -(-n // GROUP))
     coded = map_arrow(units, _coded(tables, DIMENSIONS, seed), "place double, id bigint, half binary")
-    arranged = coded.repartitionByRange(max(12, -(-n * tables // 65536)), "place").sortWithinPartitions("place")
+    parts = max(min(12, n * tables // (4 * block)), -(-n * tables // 65536))  # of several blocks each, however few vectors there are
+    arranged = coded.repartitionByRange(parts, "place").sortWithinPartitions("place")
     first = map_arrow(arranged, _first_lists(block, degree), _LISTS)
     halves = written(map_arrow(units, lambda batches: (pa.RecordBatch.from_arrays([b.column("id"), pa.array([u.tobytes() for u in _matrix(b.column("unit")).astype(np.float16)], pa.binary())], ["id", "bytes"]) for b in batches if b.num_rows), "id bigint, bytes binary"), "halves")
     graph = written(_merged(first.withColumn("old", F.lit(False)), degree), "graph")
