@@ -18,7 +18,7 @@ def brute(vectors, k):
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     similarity = unit @ unit.T
     np.fill_diagonal(similarity, -9)
-    return {int(ids[r]): [int(ids[c]) for c in np.lexsort((ids, -similarity[r]))[:k]] for r in range(len(ids))}
+    return {int(ids[r]): [int(ids[c]) for c in np.lexsort((ids, -similarity[r]))[: min(k, len(ids) - 1)]] for r in range(len(ids))}
 
 
 def test_recall(spark):
