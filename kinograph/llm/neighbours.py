@@ -23,6 +23,10 @@ TABLES, BLOCK, CODE_BITS = 6, 256, 7
 LEAST_CHANGE, MOST_STEPS = 0.02, 8
 #: Vectors whose lists are worked on together; each other vector is sent once to every such group that needs it.
 GROUP = 8192
+#: Pairs that are found before a worker hands out lists of them.
+HELD_PAIRS = 400_000
+#: Lists that are merged at once.
+MERGED_ROWS = 8_000
 
 _UNIT = pa.schema([("id", pa.int64()), ("unit", pa.binary())])
 
@@ -59,24 +63,24 @@ def _half(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float16).astype(np.float32).reshape(len(column), -1)
 
 
-def _lists(owner: np.ndarray, other: np.ndarray, similarity: np.ndarray, most: int) -> pa.RecordBatch:
-    """``id, others, similarities``: of each owner the most similar others, each once."""
-    order = np.lexsort((-similarity, other, owner))
+def _lists(owner: np.ndarray, other: np.ndarray, similarity: np.ndarray, most: int, fresh: np.ndarray | None = None) -> pa.RecordBatch:
+    """``id, others, similarities``: of each owner the most similar others, each once; and ``fresh``, if it is given: of several
+    equal entries, all must be."""
+    order = np.lexsort((other, owner) if fresh is None else (fresh, other, owner))
     owner, other, similarity = owner[order], other[order], similarity[order]
     first = np.ones(len(owner), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
-    owner, other, similarity = owner[first], other[first], similarity[first]
-    order = np.lexsort((other, -similarity, owner))
-    owner, other, similarity = owner[order], other[order], similarity[order]
+    owner, other, similarity, order = owner[first], other[first], similarity[first], order[first]
+    ranked = np.lexsort((other, -similarity, owner))
+    owner, other, similarity, order = owner[ranked], other[ranked], similarity[ranked], order[ranked]
     begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
-    rank = np.arange(len(owner)) - np.repeat(begins, np.diff(np.append(begins, len(owner))))
-    kept = rank < most
-    ids, lengths = np.unique(owner[kept], return_counts=True)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(other[kept])), pa.ListArray.from_arrays(offsets, pa.array(similarity[kept].astype(np.float32)))],
-        ["id", "others", "similarities"],
-    )
+    lengths = np.diff(np.append(begins, len(owner)))
+    kept = np.arange(len(owner)) - np.repeat(begins, lengths) < most
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.minimum(lengths, most))]).astype(np.int32))
+    columns = {"id": pa.array(owner[begins]), "others": pa.ListArray.from_arrays(offsets, pa.array(other[kept])), "similarities": pa.ListArray.from_arrays(offsets, pa.array(similarity[kept].astype(np.float32)))}
+    if fresh is not None:
+        columns["fresh"] = pa.ListArray.from_arrays(offsets, pa.array(fresh[order[kept]]))
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 _LISTS = "id bigint, others array<bigint>, similarities array<float>"
@@ -140,20 +144,13 @@ def _merge_lists(degree: int):
         rows = 0
 
         def merged(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
             others = table.column("others").combine_chunks()
             lengths = np.diff(others.offsets.to_numpy())
             owner = np.repeat(table.column("id").to_numpy(), lengths)
             other = others.flatten().to_numpy()
             similarity = table.column("similarities").combine_chunks().flatten().to_numpy()
-            old = np.repeat(table.column("old").to_numpy(zero_copy_only=False), lengths)
-            result = _lists(owner, other, similarity, degree)
-            known = np.rec.fromarrays([owner[old], other[old]])
-            lengths = np.diff(result.column("others").offsets.to_numpy())
-            pairs = np.rec.fromarrays([np.repeat(result.column("id").to_numpy(), lengths), result.column("others").flatten().to_numpy()])
-            fresh = ~np.isin(pairs, known)
-            flags = pa.ListArray.from_arrays(result.column("others").offsets, pa.array(fresh))
-            return pa.RecordBatch.from_arrays([*result.columns, flags], ["id", "others", "similarities", "fresh"])
+            old = np.repeat(table.column("old").to_numpy(zero_copy_only=False).astype(bool), lengths)
+            return _lists(owner, other, similarity, degree, ~old)
 
         for batch in batches:
             if not batch.num_rows:
@@ -161,7 +158,7 @@ def _merge_lists(degree: int):
             held.append(batch)
             rows += batch.num_rows
             ids = batch.column("id")
-            if rows >= 20_000 and held[0].column("id")[0] != ids[-1]:
+            if rows >= MERGED_ROWS and held[0].column("id")[0] != ids[-1]:
                 table = pa.Table.from_batches(held)
                 end = int(np.searchsorted(table.column("id").to_numpy(), ids[-1].as_py()))
                 yield merged(table.slice(0, end))
@@ -181,13 +178,12 @@ def _merged(lists: DataFrame, degree: int) -> DataFrame:
 def _step(degree: int):
     """Compares all neighbours of each vector of a group with each other, where one of the two is fresh.
 
-    Rows of a group: first ``vector`` rows (``id, bytes, least``), then ``edge`` rows (``id, other, fresh``) by ``id``. Gives to
-    each neighbour those that are more similar to it than the last of its list."""
+    Gives to each neighbour those that are more similar to it than the last of its list."""
 
-    def joined(ids: np.ndarray, unit: np.ndarray, least: np.ndarray, owner: np.ndarray, other: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
+    def joined(ids: np.ndarray, unit: np.ndarray, least: np.ndarray, owner: np.ndarray, other: np.ndarray, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = np.searchsorted(ids, other)
         cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
-        lefts, rights, values = [], [], []
+        lefts, rights, values, held = [], [], [], 0
         for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             new = fresh[begin:end]
             if not new.any():
@@ -200,60 +196,90 @@ def _step(degree: int):
             bound = least[members]
             left, right = np.nonzero(similarity > np.minimum(bound[new_at][:, None], bound[None, :]))
             value = similarity[left, right]
-            a, b = members[new_at[left]], members[right]
+            a, b = members[new_at[left]].astype(np.int32), members[right].astype(np.int32)
             forth, back = value > least[a], value > least[b]
             lefts += [a[forth], b[back]]
             rights += [b[forth], a[back]]
             values += [value[forth], value[back]]
-        if not lefts:
-            return _lists(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), degree)
-        return _lists(ids[np.concatenate(lefts)], ids[np.concatenate(rights)], np.concatenate(values), degree)
+            held += len(a)
+            if held >= HELD_PAIRS:
+                yield _lists(ids[np.concatenate(lefts)], ids[np.concatenate(rights)], np.concatenate(values), degree)
+                lefts, rights, values, held = [], [], [], 0
+        if lefts:
+            yield _lists(ids[np.concatenate(lefts)], ids[np.concatenate(rights)], np.concatenate(values), degree)
 
-    return _by_group(joined)
+    return _by_group(joined, degree)
 
 
-def _by_group(function: Callable[..., pa.RecordBatch]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        current: int | None = None
-
-        def done() -> pa.RecordBatch:
-            table = pa.Table.from_batches([p for p in parts])
-            is_edge = table.column("other").is_valid().to_numpy()
-            vectors, edges = table.filter(pa.array(~is_edge)), table.filter(pa.array(is_edge))
-            ids = vectors.column("id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            raw = vectors.column("bytes").to_pylist()
-            width = np.float16 if vectors.num_rows and len(raw[0]) == 2 * DIMENSIONS else np.float32
-            unit = np.frombuffer(b"".join(raw), width).astype(np.float32).reshape(len(raw), -1)[order] if raw else np.empty((0, 1), np.float32)
-            least = vectors.column("least").to_numpy()[order]
-            owner = edges.column("id").to_numpy()
-            by_owner = np.argsort(owner, kind="stable")
-            return function(ids[order], unit, least, owner[by_owner], edges.column("other").to_numpy()[by_owner], edges.column("fresh").to_numpy(zero_copy_only=False)[by_owner].astype(bool))
+def _best(owner: np.ndarray, other: np.ndarray, similarity: np.ndarray, most: int) -> np.ndarray:
+    """Places of the most similar entries of each owner."""
+    order = np.lexsort((other, -similarity, owner))
+    sorted_owner = owner[order]
+    begins = np.flatnonzero(np.concatenate([[True], sorted_owner[1:] != sorted_owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+    lengths = np.diff(np.append(begins, len(owner)))
+    return order[np.arange(len(owner)) - np.repeat(begins, lengths) < most]
 
+
+def _reversed(degree: int):
+    """Lists of the vectors in whose lists a vector is; of those in one batch, the most similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups = batch.column("group").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]])) if len(groups) else []
-            for begin, end in zip(cuts[:-1], cuts[1:], strict=False):
-                if current is not None and groups[begin] != current:
-                    yield done()
-                    parts = []
-                current = int(groups[begin])
-                parts.append(batch.slice(begin, end - begin))
-        if parts:
-            yield done()
+            lengths = np.diff(batch.column("others").offsets.to_numpy())
+            other, owner = np.repeat(batch.column("id").to_numpy(), lengths), batch.column("others").flatten().to_numpy()
+            similarity, fresh = batch.column("similarities").flatten().to_numpy(), batch.column("fresh").flatten().to_numpy(zero_copy_only=False).astype(bool)
+            yield _lists(owner, other, similarity, degree, fresh)
 
     return run
 
 
-def _grouped(edges: DataFrame, vectors: DataFrame, groups: int, function, schema: str) -> DataFrame:
-    """Runs ``function`` on every group of owners: its edges (``id, other, fresh``) and, once each, the vectors
-    (``id, bytes, least``) of their other ends."""
-    grouped = edges.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    needed = grouped.select("group", F.col("other").alias("id")).distinct()
-    sent = needed.join(vectors, "id").select("group", "id", F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("boolean").alias("fresh"), "bytes", "least")
-    rows = grouped.select("group", "id", "other", "fresh", F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("float").alias("least"))
-    arranged = sent.unionByName(rows).repartition("group").sortWithinPartitions("group")
+def _by_group(function: Callable[..., Iterator[pa.RecordBatch]], degree: int):
+    """A group's vectors and its edges, one for each list entry and at most ``degree`` reverse ones for each owner, given to ``function``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), schema=_GROUP_SCHEMA)
+        if not table.num_rows:
+            return
+        is_list = table.column("others").is_valid()
+        vectors, lists = table.filter(pa.compute.invert(is_list)), table.filter(is_list)
+        ids = vectors.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        raw = vectors.column("bytes").to_pylist()
+        width = np.float16 if raw and len(raw[0]) == 2 * DIMENSIONS else np.float32
+        unit = np.frombuffer(b"".join(raw), width).astype(np.float32).reshape(len(raw), DIMENSIONS)[order]
+        ids, least = ids[order], vectors.column("least").to_numpy()[order]
+        del raw, vectors, table
+        others = lists.column("others").combine_chunks()
+        lengths = np.diff(others.offsets.to_numpy())
+        owner, other = np.repeat(lists.column("id").to_numpy(), lengths), others.flatten().to_numpy()
+        similarity = lists.column("similarities").combine_chunks().flatten().to_numpy()
+        fresh = lists.column("fresh").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool)
+        forth = np.repeat(lists.column("forth").to_numpy(zero_copy_only=False).astype(bool), lengths)
+        back = np.flatnonzero(~forth)
+        kept = np.concatenate([np.flatnonzero(forth), back[_best(owner[back], other[back], similarity[back], degree)]])
+        owner, other, fresh = owner[kept], other[kept], fresh[kept]
+        order = np.lexsort((~fresh, other, owner))
+        owner, other, fresh = owner[order], other[order], fresh[order]
+        first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])]) if len(owner) else np.empty(0, bool)
+        yield from function(ids, unit, least, owner[first], other[first], fresh[first])
+
+    return run
+
+
+_GROUP_SCHEMA = pa.schema(
+    [("group", pa.int64()), ("id", pa.int64()), ("others", pa.list_(pa.int64())), ("similarities", pa.list_(pa.float32())), ("fresh", pa.list_(pa.bool_())), ("forth", pa.bool_()), ("bytes", pa.binary()), ("least", pa.float32())]
+)
+
+
+def _grouped(lists: DataFrame, needed: DataFrame, vectors: DataFrame, groups: int, function, schema: str) -> DataFrame:
+    """Runs ``function`` on every group of owners, a task for each: the group's lists (``id, others, similarities, fresh, forth``) and,
+    once each, the vectors (``id, bytes, least``) that are ``needed`` (``owner, id``) for them."""
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).alias("group")
+    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    wanted = needed.select(group("owner"), "id").distinct()
+    sent = wanted.join(vectors, "id").select("group", "id", null("others", "array<bigint>"), null("similarities", "array<float>"), null("fresh", "array<boolean>"), null("forth", "boolean"), "bytes", "least")
+    rows = lists.select(group("id"), "id", "others", "similarities", "fresh", "forth", null("bytes", "binary"), null("least", "float"))
+    arranged = sent.unionByName(rows).repartitionById(groups, F.col("group").cast("int"))
     return map_arrow(arranged, function, schema)
 
 
@@ -283,22 +309,20 @@ def neighbour_graph(
             break
         full = F.when(F.size("others") >= degree, F.element_at("similarities", -1)).otherwise(F.lit(-2.0).cast("float"))
         vectors = halves.join(graph.select("id", full.alias("least")), "id")
-        forth = graph.select("id", F.explode(F.arrays_zip("others", "similarities", "fresh")).alias("e")).select("id", F.col("e.others").alias("other"), F.col("e.similarities").alias("similarity"), F.col("e.fresh").alias("fresh"))
-        back = forth.select(F.col("other").alias("id"), F.col("id").alias("other"), "similarity", "fresh")
-        nearest = W.partitionBy("id").orderBy(F.desc("similarity"), "other")
-        back = back.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= degree).drop("r")
-        edges = forth.unionByName(back).groupBy("id", "other").agg(F.max("fresh").alias("fresh"))
-        offered = _grouped(edges, vectors, groups, _step(degree), _LISTS)
+        own = graph.select("id", "others", "similarities", "fresh", F.lit(True).alias("forth"))
+        back = map_arrow(graph, _reversed(degree), f"{_LISTS}, fresh array<boolean>").withColumn("forth", F.lit(False))
+        pairs = graph.select("id", F.explode("others").alias("other"))
+        needed = pairs.select(F.col("id").alias("owner"), F.col("other").alias("id")).union(pairs.select(F.col("other").alias("owner"), "id"))
+        offered = _grouped(own.unionByName(back), needed, vectors, groups, _step(degree), _LISTS)
         lists = offered.withColumn("old", F.lit(False)).unionByName(graph.select("id", "others", "similarities", F.lit(True).alias("old")))
         graph = written(_merged(lists, degree), "graph")
     return graph.select("id", "others", "similarities")
 
 
-def _exact(ids: np.ndarray, unit: np.ndarray, least: np.ndarray, owner: np.ndarray, other: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
+def _exact(ids: np.ndarray, unit: np.ndarray, least: np.ndarray, owner: np.ndarray, other: np.ndarray, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
     left, right = unit[np.searchsorted(ids, owner)], unit[np.searchsorted(ids, other)]
     cosine = np.clip(np.einsum("ij,ij->i", left.astype(np.float64), right.astype(np.float64)), -1, 1)
-    real = owner != other
-    return pa.RecordBatch.from_arrays([pa.array(owner[real]), pa.array(other[real]), pa.array(cosine[real])], ["id", "other", "cosine"])
+    yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(other), pa.array(cosine)], ["id", "other", "cosine"])
 
 
 def most_similar(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "vec", **settings) -> DataFrame:
@@ -320,12 +344,12 @@ def most_similar(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: s
     leading = written(leading.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids")), "leading")  # k + 1 at most
 
     graph = neighbour_graph(single, n, **settings)
-    near = graph.select("id", F.explode(F.slice("others", 1, k + 6)).alias("other"), F.lit(True).alias("fresh"))
-    itself = single.select("id", F.col("id").alias("other"), F.lit(True).alias("fresh"))
+    nearest = graph.select("id", *(F.slice(c, 1, k + 6).alias(c) for c in ("others", "similarities")))
+    near = nearest.select("id", "others", "similarities", F.transform("others", lambda x: F.lit(True)).alias("fresh"), F.lit(True).alias("forth"))
+    needed = near.select(F.col("id").alias("owner"), F.explode(F.concat("others", F.array("id"))).alias("id"))
     exact = _grouped(
-        near.unionByName(itself), single.select("id", F.col("unit").alias("bytes"), F.lit(0.0).cast("float").alias("least")),
-        max(12, -(-n // GROUP)), _by_group(_exact), "id bigint, other bigint, cosine double",
-    )
+        near, needed, single.select("id", F.col("unit").alias("bytes"), F.lit(0.0).cast("float").alias("least")), max(12, -(-n // GROUP)), _by_group(_exact, 0), "id bigint, other bigint, cosine double"
+    )
     exact = exact.unionByName(single.select("id", F.col("id").alias("other"), F.lit(1.0).alias("cosine")))
     found = exact.join(leading.withColumnRenamed("rep", "other"), "other").select("id", "cosine", F.explode("ids").alias("other"))
     lists = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other"))), 1, k + 1).alias("l"))
