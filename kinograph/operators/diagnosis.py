@@ -19,9 +19,10 @@ def seed_summary(metrics: DataFrame, metric: str) -> DataFrame:
 
 def relative_change(summary: DataFrame, base: str) -> DataFrame:
     """``arm, change`` of the mean against the arm ``base``; null if the base is 0 or below."""
-    reference = summary.where(F.col("arm") == base).select(F.col("mean").alias("_base"))
-    change = F.when(F.col("_base") > 0, F.col("mean") / F.col("_base") - 1)
-    return summary.join(F.broadcast(reference), how="cross").select("arm", change.alias("change"))  # one row
+    found = summary.where(F.col("arm") == base).select("mean").first()
+    value = found[0] if found and found[0] is not None and found[0] > 0 else None
+    change = F.lit(None).cast("double") if value is None else F.col("mean") / F.lit(value) - 1
+    return summary.select("arm", change.alias("change"))
 
 
 def user_means(metrics: DataFrame, metric: str) -> DataFrame:

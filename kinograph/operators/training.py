@@ -108,11 +108,10 @@ def evaluate_runs(rows: DataFrame, features: DataFrame, runs: list[tuple[str, in
     ``rows``: ``user, event_id, phase, target, history``, those with a history; ``features``: ``arm, item_idx, vector``, one vector
     for every item from 1 on. A run's rows and features are sent to its task and must fit there; runs are spread over tasks.
     """
-    spark = rows.sparkSession
-    ship(spark)
-    one_side, other_side = (F.broadcast(spark.createDataFrame(runs, "arm string, seed int")) for _ in range(2))  # a few runs
-    left = rows.join(one_side, how="cross").select("arm", "seed", "user", "event_id", "phase", "target", "history")
-    right = features.join(other_side, "arm").select("arm", "seed", "item_idx", "vector")
+    ship(rows.sparkSession)
+    all_runs = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.lit(s).alias("seed")) for a, s in runs)))  # a few
+    left = rows.select(all_runs.alias("run"), "user", "event_id", "phase", "target", "history").select("run.arm", "run.seed", "user", "event_id", "phase", "target", "history")
+    right = features.select("arm", "item_idx", "vector", all_runs.alias("run")).where("arm = run.arm").select("run.arm", "run.seed", "item_idx", "vector")
 
     def one(key: tuple, data: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         vectors = vectors.sort_values("item_idx")

@@ -74,8 +74,8 @@ def inbatch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``user, arm, seed, rank, NDCG@10``: made-up runs of the arms over the retained users, from digests."""
     users = retained(spark, sf_dir).where("back = 1").select("user")
-    arms = table(spark, sf_dir, "generation_arms").select("arm")
-    runs = users.join(F.broadcast(arms), how="cross").select("user", "arm", F.explode(F.array(*map(F.lit, SEEDS))).alias("seed"))  # eight arms
+    arms = F.array(*map(F.lit, arm_names(spark, sf_dir)))  # eight
+    runs = users.select("user", F.explode(arms).alias("arm")).select("user", "arm", F.explode(F.array(*map(F.lit, SEEDS))).alias("seed"))
     ranked = runs.withColumn("rank", 1 + hash_number("arm", "seed", "user") % (10 + F.length("arm")))
     return ranked.select("user", "arm", "seed", "rank", F.when(F.col("rank") <= 10, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0).alias("ndcg"))
 

@@ -206,8 +206,8 @@ class Pipeline:
             parts = joined.withColumn("text", F.btrim("text", F.lit(" \t\r\n"))).join(vectors, "text").select("source", "item_idx", F.posexplode("vector").alias("d", "x"))
             means = parts.groupBy("source", "item_idx", "d").agg(F.avg("x").alias("x")).groupBy("source", "item_idx").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).getField("x").alias("vector"))
             zeros = F.array_repeat(F.lit(0.0), F.lit(c.dimensions))
-            sources = self.spark.createDataFrame([(s,) for s in sorted({s for _, s in c.experiments})], "source string")
-            full = index.select("item_idx").join(F.broadcast(sources), how="cross").join(means, ["source", "item_idx"], "left")  # a few sources
+            sources = F.explode(F.array(*(F.lit(s) for s in sorted({s for _, s in c.experiments}))))  # a few
+            full = index.select("item_idx", sources.alias("source")).join(means, ["source", "item_idx"], "left")
             return {"rows": rows, "items": items, "vocabulary": vectors, "features": full.select("source", "item_idx", F.coalesce("vector", zeros).alias("vector")), "summary": cohort.split_summary(cohort.leave_one_out(kept))}
 
         return self._step("representations", {"experiments": list(map(list, c.experiments)), "cohort": [c.min_events, c.retained, c.history], "dimensions": c.dimensions}, make)
