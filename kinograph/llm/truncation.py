@@ -28,8 +28,8 @@ def _occurrences(text: Column, character: str) -> Column:
 def stored_lengths(text: Column) -> dict[str, Column]:
     """Lengths of a text in the forms in which something may have stored or sent it."""
     characters = F.length(text)
-    wide = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
-    other = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
+    wide = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]+", ""))
+    other = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
     quotes, lines, returns = (_occurrences(text, c) for c in ('"', "\n", "\r"))
     escaped = quotes + lines + returns + _occurrences(text, "\t") + _occurrences(text, "\\")
     return {
@@ -123,7 +123,7 @@ def judged_outputs(outputs: DataFrame, arms: DataFrame) -> DataFrame:
     says_limit = F.col("reason").rlike(_LIMIT_REASON) | F.col("warned")
     says_stop = F.col("reason").rlike(_STOP_REASON) & ~says_limit
     reached = F.coalesce(F.col("tokens") >= F.col("most"), F.lit(False))
-    mostly_ascii = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", "")) > 0.9 * F.length(text)
+    mostly_ascii = F.length(F.regexp_replace(text, r"[^\x00-\x7F]+", "")) > 0.9 * F.length(text)
     short = F.coalesce(mostly_ascii & ~reached & (F.length(text) < LEAST_CHARACTERS * F.col("tokens")), F.lit(False))
     measured = joined.select(
         "output_id", "arm", complete.alias("complete"), says_limit.alias("says_limit"), (reached & ~says_stop).alias("reached"), short.alias("short"),
