@@ -363,3 +363,67 @@ def similar_pairs(neighbours: DataFrame, least: float = 0.9) -> DataFrame:
     """``vec_a, vec_b`` with vec_a < vec_b: pairs of which one is in the other's list, with a cosine of at least ``least``."""
     near = neighbours.where(F.col("cosine") >= least)
     return near.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
+
+
+def search(graph: DataFrame, units: DataFrame, queries: DataFrame, k: int = 10, beam: int = 64, entries: int = 256, most_rounds: int = 24) -> DataFrame:
+    """``query, id, cosine, rank``: for each query the ``k`` most similar vectors that a greedy walk through the graph finds.
+
+    ``graph``: as from ``neighbour_graph``; ``units``: ``id, unit`` of its vectors; ``queries``: ``query, unit``. All queries begin at
+    the same ``entries`` vectors, those with the smallest hashes. In each round the best vectors of a query that are not
+    expanded yet, one in four of its ``beam``, are; their neighbours are compared with it, and the best ``beam`` of all are
+    kept. A query ends once all of those are expanded, the search once all queries have ended or after ``most_rounds``. One
+    round is two joins on ids; what is written between rounds is ``beam`` rows a query. Without queries or vectors, no rows.
+    """
+    starts = units.orderBy(F.xxhash64("id"), "id").limit(entries)
+    begun = starts.count()
+    names, matrix = [], []
+    for row in starts.collect():  # of fixed number
+        names.append(row.id)
+        matrix.append(np.frombuffer(row.unit, np.float32))
+    if not begun:
+        return queries.select("query", F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
+    start_ids, start_units = np.array(names, np.int64), np.array(matrix)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cosine = _matrix(batch.column("unit")).astype(np.float64) @ start_units.T
+                most = min(beam, len(start_ids))
+                best = np.argpartition(-cosine, most - 1, axis=1)[:, :most]
+                query = np.repeat(batch.column("query").to_numpy(), most)
+                columns = [pa.array(query), pa.array(start_ids[best].ravel()), pa.array(np.take_along_axis(cosine, best, 1).ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["query", "id", "cosine"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cosine = np.einsum("ij,ij->i", _matrix(batch.column("asked")).astype(np.float64), _matrix(batch.column("unit")))
+                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("id"), pa.array(cosine)], ["query", "id", "cosine"])
+
+    schema = "query bigint, id bigint, cosine double"
+    asked = written(queries.select(F.col("query").cast("bigint").alias("query"), F.col("unit").alias("asked")), "asked")
+    found = map_arrow(asked.select("query", F.col("asked").alias("unit")), begin, schema).withColumn("done", F.lit(False))
+    by_query = W.partitionBy("query").orderBy(F.desc("cosine"), "id")
+    state = written(found.withColumn("r", F.row_number().over(by_query)), "beam")
+    edges = graph.select("id", "others")
+    for _ in range(most_rounds):
+        open_rows = state.where("NOT done").withColumn("o", F.row_number().over(by_query)).where(F.col("o") <= max(1, beam // 4)).select("query", "id")
+        ahead = written(open_rows, "ahead")
+        if ahead.isEmpty():
+            break
+        reached = ahead.join(edges, "id").select("query", F.explode("others").alias("id")).distinct()
+        new = reached.join(state.select("query", "id"), ["query", "id"], "left_anti")
+        compared = map_arrow(new.join(units, "id").join(asked, "query").select("query", "id", "asked", "unit"), compare, schema)
+        marked = state.drop("r").join(ahead.withColumn("now", F.lit(True)), ["query", "id"], "left").select("query", "id", "cosine", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        ranked = marked.unionByName(compared.withColumn("done", F.lit(False))).withColumn("r", F.row_number().over(by_query))
+        state = written(ranked.where(F.col("r") <= beam), "beam")
+    return state.where(F.col("r") <= k).select("query", "id", "cosine", F.col("r").alias("rank"))
+
+
+def graph_search(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "vec", **settings) -> DataFrame:
+    """``search`` with the usable vectors whose id is divisible by ``every`` as queries, against all; a query does not find itself."""
+    units = written(unit_vectors(vectors, key, vector), "units")
+    graph = written(neighbour_graph(units, units.count(), **settings), "graph")
+    found = search(graph, units, units.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "unit"), k + 1)
+    others = found.where("query <> id").withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("rank")))
+    return others.where(F.col("rank") <= k)

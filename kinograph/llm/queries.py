@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinograph.llm.cooccurrence import item_pairs
-from kinograph.llm.neighbours import most_similar, similar_pairs
+from kinograph.llm.neighbours import graph_search, most_similar, similar_pairs
 from kinograph.llm.packing import pack_documents
 from kinograph.llm.reading import fit, reading_levels
 from kinograph.llm.sequences import frequent_sequences
@@ -40,6 +40,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(p6_neighbours(spark, sf_dir))
 
 
+def p6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search(table(spark, sf_dir, "feature_vectors"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
@@ -77,7 +81,7 @@ def p5_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage_limits(table(spark, sf_dir, "scene_outputs").where(r"raw_output RLIKE '\\S'").select("arm", "raw_output"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p4_found, p4_pairs, p5_judged, p5_found, p5_shares, p5_limits, p6_neighbours, p6_found, p7_ids, p7_not_restored, p8_containers, p9_levels, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p4_found, p4_pairs, p5_judged, p5_found, p5_shares, p5_limits, p6_neighbours, p6_found, p6_search, p7_ids, p7_not_restored, p8_containers, p9_levels, p9_found)}
 
 PAIRS = f"""{USABLE}, ui AS (SELECT DISTINCT u, i FROM usable), total AS (SELECT count(DISTINCT u) AS n FROM ui),
 margins AS (SELECT i, count(*) AS n FROM ui GROUP BY 1),

@@ -59,3 +59,15 @@ def test_few_vectors(spark, n):
     expected = brute(vectors, 10) if n > 1 else {}
     for k, others in expected.items():
         assert [r.other for r in sorted(found, key=lambda r: r["rank"]) if r.id == k] == others
+
+
+def test_greedy_search(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(k, v) for k, v in enumerate(rng.standard_normal((2500, 64)))]
+    found = N.graph_search(frame(spark, vectors), every=50).toPandas()
+    expected = brute(vectors, 10)
+    assert set(found["query"]) == set(range(0, 2500, 50)) and (found.groupby("query").size() == 10).all() and (found["query"] != found.id).all()
+    hits = sum(len(set(g.id) & set(expected[q])) for q, g in found.groupby("query"))
+    assert hits / len(found) >= 0.95
+    assert N.graph_search(frame(spark, [])).count() == 0
+    assert [(r.query, r.id) for r in N.graph_search(frame(spark, vectors[:2]), every=2).collect()] == [(0, 1)]
