@@ -118,7 +118,7 @@ def judged_outputs(outputs: DataFrame, arms: DataFrame) -> DataFrame:
 
     text = F.col("raw_output")
     graph = F.coalesce(F.col("kind") == "graph", text.rlike(r"^\s*(?:```[^\n]*\n)?\W*(?i:context)\b"))
-    lengths = F.create_map(*(x for m, c in stored_lengths(text).items() for x in (F.lit(m), c.cast("bigint"))))
+    lengths = F.array(*(F.struct(F.lit(m).alias("measure"), c.cast("bigint").alias("length")) for m, c in stored_lengths(text).items()))
     complete = F.when(graph, graph_is_complete(text)).otherwise(prose_is_complete(text))
     says_limit = F.col("reason").rlike(_LIMIT_REASON) | F.col("warned")
     says_stop = F.col("reason").rlike(_STOP_REASON) & ~says_limit
@@ -127,7 +127,7 @@ def judged_outputs(outputs: DataFrame, arms: DataFrame) -> DataFrame:
     short = F.coalesce(mostly_ascii & ~reached & (F.length(text) < LEAST_CHARACTERS * F.col("tokens")), F.lit(False))
     measured = joined.select(
         "output_id", "arm", complete.alias("complete"), says_limit.alias("says_limit"), (reached & ~says_stop).alias("reached"), short.alias("short"),
-        F.filter("limits", lambda x: F.element_at(lengths, x.measure) == x.length).alias("hits"),
+        F.when(F.col("limits").isNotNull(), F.array_intersect("limits", lengths)).alias("hits"),
     )
     at_limit = F.coalesce(F.size("hits") > 0, F.lit(False))
     cause = (
