@@ -63,27 +63,52 @@ def _half(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float16).astype(np.float32).reshape(len(column), -1)
 
 
-def _lists(owner: np.ndarray, other: np.ndarray, similarity: np.ndarray, most: int, fresh: np.ndarray | None = None) -> pa.RecordBatch:
-    """``id, others, similarities``: of each owner the most similar others, each once; and ``fresh``, if it is given: of several
-    equal entries, all must be."""
-    order = np.lexsort((other, owner) if fresh is None else (fresh, other, owner))
-    owner, other, similarity = owner[order], other[order], similarity[order]
+#: An entry of a list. Lists travel as the bytes of their entries, which Spark passes on without looking into them.
+_ENTRY = np.dtype([("other", "<i8"), ("similarity", "<f4"), ("fresh", "?")])
+_LISTS = "id bigint, entries binary"
+
+
+def _pack(owner: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    """``id, entries``: one row for each run of equal owners."""
+    begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+    offsets = (np.append(begins, len(owner)) * _ENTRY.itemsize).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(owner[begins]), data], ["id", "entries"])
+
+
+def _unpack(ids: pa.ChunkedArray | pa.Array, packed: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The owner of each entry, the entries, and the entries' number for each row."""
+    packed = packed.combine_chunks() if isinstance(packed, pa.ChunkedArray) else packed
+    lengths = np.asarray(pa.compute.binary_length(packed)).astype(np.int64) // _ENTRY.itemsize
+    data = np.frombuffer(b"".join(packed.to_pylist()), _ENTRY)
+    return np.repeat(ids.to_numpy(), lengths), data, lengths
+
+
+def _entries(other: np.ndarray, similarity: np.ndarray, fresh: np.ndarray | bool) -> np.ndarray:
+    entries = np.empty(len(other), _ENTRY)
+    entries["other"], entries["similarity"], entries["fresh"] = other, similarity, fresh
+    return entries
+
+
+def _lists(owner: np.ndarray, entries: np.ndarray, most: int) -> pa.RecordBatch:
+    """Of each owner the most similar others, each once; of equal ones, all must be fresh."""
+    order = np.lexsort((entries["fresh"], entries["other"], owner))
+    owner, entries = owner[order], entries[order]
+    other = entries["other"]
     first = np.ones(len(owner), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
-    owner, other, similarity, order = owner[first], other[first], similarity[first], order[first]
-    ranked = np.lexsort((other, -similarity, owner))
-    owner, other, similarity, order = owner[ranked], other[ranked], similarity[ranked], order[ranked]
-    begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
-    lengths = np.diff(np.append(begins, len(owner)))
-    kept = np.arange(len(owner)) - np.repeat(begins, lengths) < most
-    offsets = pa.array(np.concatenate([[0], np.cumsum(np.minimum(lengths, most))]).astype(np.int32))
-    columns = {"id": pa.array(owner[begins]), "others": pa.ListArray.from_arrays(offsets, pa.array(other[kept])), "similarities": pa.ListArray.from_arrays(offsets, pa.array(similarity[kept].astype(np.float32)))}
-    if fresh is not None:
-        columns["fresh"] = pa.ListArray.from_arrays(offsets, pa.array(fresh[order[kept]]))
-    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    owner, entries = owner[first], entries[first]
+    kept = _best(owner, entries["other"], entries["similarity"], most)
+    return _pack(owner[kept], entries[kept])
 
 
-_LISTS = "id bigint, others array<bigint>, similarities array<float>"
+def _best(owner: np.ndarray, other: np.ndarray, similarity: np.ndarray, most: int) -> np.ndarray:
+    """Places of the most similar entries of each owner, by owner and falling similarity."""
+    order = np.lexsort((other, -similarity, owner))
+    ordered = owner[order]
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(owner) else np.empty(0, np.int64)
+    lengths = np.diff(np.append(begins, len(owner)))
+    return order[np.arange(len(owner)) - np.repeat(begins, lengths) < most]
 
 
 def _coded(tables: int, dimensions: int, seed: int):
@@ -112,7 +137,7 @@ def _first_lists(block: int, degree: int):
             np.fill_diagonal(similarity, -2)
             most = min(degree, len(ids) - 1)
             best = np.argpartition(-similarity, max(most - 1, 0), axis=1)[:, :most]
-            return _lists(np.repeat(ids, most), ids[best].ravel(), np.take_along_axis(similarity, best, 1).ravel(), degree)
+            return _lists(np.repeat(ids, most), _entries(ids[best].ravel(), np.take_along_axis(similarity, best, 1).ravel(), True), degree)
 
         ids, unit, table = np.empty(0, np.int64), np.empty((0, 1), np.float32), np.empty(0, np.int64)
         for batch in batches:
@@ -136,22 +161,26 @@ def _first_lists(block: int, degree: int):
     return run
 
 
+_GRAPH = "id bigint, entries binary, others array<bigint>, changed int, least float"
+
+
 def _merge_lists(degree: int):
-    """Lists of the same id, which arrive together, become one; ``fresh`` says which neighbours were not in the old list."""
+    """Lists of the same id, which arrive together, become one. ``changed`` counts its fresh entries; ``least`` is the similarity
+    that a further neighbour must exceed."""
+
+    def merged(table: pa.Table) -> pa.RecordBatch:
+        owner, entries, _ = _unpack(table.column("id"), table.column("entries"))
+        result = _lists(owner, entries, degree)
+        owner, entries, lengths = _unpack(result.column("id"), result.column("entries"))
+        ends = np.cumsum(lengths)
+        others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.ascontiguousarray(entries["other"])))
+        changed = np.add.reduceat(entries["fresh"].astype(np.int32), ends - lengths) if len(ends) else np.empty(0, np.int32)
+        least = np.where(lengths >= degree, entries["similarity"][ends - 1], -2.0).astype(np.float32)
+        return pa.RecordBatch.from_arrays([*result.columns, others, pa.array(changed.astype(np.int32)), pa.array(least)], ["id", "entries", "others", "changed", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
-
-        def merged(table: pa.Table) -> pa.RecordBatch:
-            others = table.column("others").combine_chunks()
-            lengths = np.diff(others.offsets.to_numpy())
-            owner = np.repeat(table.column("id").to_numpy(), lengths)
-            other = others.flatten().to_numpy()
-            similarity = table.column("similarities").combine_chunks().flatten().to_numpy()
-            old = np.repeat(table.column("old").to_numpy(zero_copy_only=False).astype(bool), lengths)
-            return _lists(owner, other, similarity, degree, ~old)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -172,7 +201,17 @@ def _merge_lists(degree: int):
 
 def _merged(lists: DataFrame, degree: int) -> DataFrame:
     arranged = lists.repartition("id").sortWithinPartitions("id")
-    return map_arrow(arranged, _merge_lists(degree), f"{_LISTS}, fresh array<boolean>")
+    return map_arrow(arranged, _merge_lists(degree), _GRAPH)
+
+
+def _aged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists with no entry fresh."""
+    for batch in batches:
+        if batch.num_rows:
+            owner, entries, _ = _unpack(batch.column("id"), batch.column("entries"))
+            aged = entries.copy()
+            aged["fresh"] = False
+            yield _pack(owner, aged)
 
 
 def _step(degree: int):
@@ -203,32 +242,24 @@ def _step(degree: int):
             values += [value[forth], value[back]]
             held += len(a)
             if held >= HELD_PAIRS:
-                yield _lists(ids[np.concatenate(lefts)], ids[np.concatenate(rights)], np.concatenate(values), degree)
+                yield _lists(ids[np.concatenate(lefts)], _entries(ids[np.concatenate(rights)], np.concatenate(values), True), degree)
                 lefts, rights, values, held = [], [], [], 0
         if lefts:
-            yield _lists(ids[np.concatenate(lefts)], ids[np.concatenate(rights)], np.concatenate(values), degree)
+            yield _lists(ids[np.concatenate(lefts)], _entries(ids[np.concatenate(rights)], np.concatenate(values), True), degree)
 
     return _by_group(joined, degree)
 
 
-def _best(owner: np.ndarray, other: np.ndarray, similarity: np.ndarray, most: int) -> np.ndarray:
-    """Places of the most similar entries of each owner."""
-    order = np.lexsort((other, -similarity, owner))
-    sorted_owner = owner[order]
-    begins = np.flatnonzero(np.concatenate([[True], sorted_owner[1:] != sorted_owner[:-1]])) if len(owner) else np.empty(0, np.int64)
-    lengths = np.diff(np.append(begins, len(owner)))
-    return order[np.arange(len(owner)) - np.repeat(begins, lengths) < most]
-
-
 def _reversed(degree: int):
     """Lists of the vectors in whose lists a vector is; of those in one batch, the most similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.diff(batch.column("others").offsets.to_numpy())
-            other, owner = np.repeat(batch.column("id").to_numpy(), lengths), batch.column("others").flatten().to_numpy()
-            similarity, fresh = batch.column("similarities").flatten().to_numpy(), batch.column("fresh").flatten().to_numpy(zero_copy_only=False).astype(bool)
-            yield _lists(owner, other, similarity, degree, fresh)
+            if batch.num_rows:
+                owner, entries, _ = _unpack(batch.column("id"), batch.column("entries"))
+                turned = entries.copy()
+                turned["other"] = owner
+                yield _lists(entries["other"], turned, degree)
 
     return run
 
@@ -240,7 +271,7 @@ def _by_group(function: Callable[..., Iterator[pa.RecordBatch]], degree: int):
         table = pa.Table.from_batches(list(batches), schema=_GROUP_SCHEMA)
         if not table.num_rows:
             return
-        is_list = table.column("others").is_valid()
+        is_list = table.column("entries").is_valid()
         vectors, lists = table.filter(pa.compute.invert(is_list)), table.filter(is_list)
         ids = vectors.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
@@ -248,16 +279,12 @@ def _by_group(function: Callable[..., Iterator[pa.RecordBatch]], degree: int):
         width = np.float16 if raw and len(raw[0]) == 2 * DIMENSIONS else np.float32
         unit = np.frombuffer(b"".join(raw), width).astype(np.float32).reshape(len(raw), DIMENSIONS)[order]
         ids, least = ids[order], vectors.column("least").to_numpy()[order]
-        del raw, vectors, table
-        others = lists.column("others").combine_chunks()
-        lengths = np.diff(others.offsets.to_numpy())
-        owner, other = np.repeat(lists.column("id").to_numpy(), lengths), others.flatten().to_numpy()
-        similarity = lists.column("similarities").combine_chunks().flatten().to_numpy()
-        fresh = lists.column("fresh").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool)
+        owner, entries, lengths = _unpack(lists.column("id"), lists.column("entries"))
         forth = np.repeat(lists.column("forth").to_numpy(zero_copy_only=False).astype(bool), lengths)
+        del raw, vectors, table, lists
         back = np.flatnonzero(~forth)
-        kept = np.concatenate([np.flatnonzero(forth), back[_best(owner[back], other[back], similarity[back], degree)]])
-        owner, other, fresh = owner[kept], other[kept], fresh[kept]
+        kept = np.concatenate([np.flatnonzero(forth), back[_best(owner[back], entries["other"][back], entries["similarity"][back], degree)]])
+        owner, other, fresh = owner[kept], entries["other"][kept], entries["fresh"][kept]
         order = np.lexsort((~fresh, other, owner))
         owner, other, fresh = owner[order], other[order], fresh[order]
         first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])]) if len(owner) else np.empty(0, bool)
@@ -266,19 +293,17 @@ def _by_group(function: Callable[..., Iterator[pa.RecordBatch]], degree: int):
     return run
 
 
-_GROUP_SCHEMA = pa.schema(
-    [("group", pa.int64()), ("id", pa.int64()), ("others", pa.list_(pa.int64())), ("similarities", pa.list_(pa.float32())), ("fresh", pa.list_(pa.bool_())), ("forth", pa.bool_()), ("bytes", pa.binary()), ("least", pa.float32())]
-)
+_GROUP_SCHEMA = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("entries", pa.binary()), ("forth", pa.bool_()), ("bytes", pa.binary()), ("least", pa.float32())])
 
 
 def _grouped(lists: DataFrame, needed: DataFrame, vectors: DataFrame, groups: int, function, schema: str) -> DataFrame:
-    """Runs ``function`` on every group of owners, a task for each: the group's lists (``id, others, similarities, fresh, forth``) and,
-    once each, the vectors (``id, bytes, least``) that are ``needed`` (``owner, id``) for them."""
+    """Runs ``function`` on every group of owners, a task for each: the group's lists (``id, entries, forth``) and, once each, the
+    vectors (``id, bytes, least``) that are ``needed`` (``owner, id``) for them."""
     group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).alias("group")
     null = lambda name, kind: F.lit(None).cast(kind).alias(name)
     wanted = needed.select(group("owner"), "id").distinct()
-    sent = wanted.join(vectors, "id").select("group", "id", null("others", "array<bigint>"), null("similarities", "array<float>"), null("fresh", "array<boolean>"), null("forth", "boolean"), "bytes", "least")
-    rows = lists.select(group("id"), "id", "others", "similarities", "fresh", "forth", null("bytes", "binary"), null("least", "float"))
+    sent = wanted.join(vectors, "id").select("group", "id", null("entries", "binary"), null("forth", "boolean"), "bytes", "least")
+    rows = lists.select(group("id"), "id", "entries", "forth", null("bytes", "binary"), null("least", "float"))
     arranged = sent.unionByName(rows).repartitionById(groups, F.col("group").cast("int"))
     return map_arrow(arranged, function, schema)
 
@@ -286,7 +311,8 @@ def _grouped(lists: DataFrame, needed: DataFrame, vectors: DataFrame, groups: in
 def neighbour_graph(
     units: DataFrame, n: int, degree: int = DEGREE, tables: int = TABLES, block: int = BLOCK, most_steps: int = MOST_STEPS, least_change: float = LEAST_CHANGE, seed: int = 7
 ) -> DataFrame:
-    """``id, others, similarities``: the ``degree`` nearest found of each of the ``n`` vectors in ``units`` (``id, unit``), nearest first.
+    """``id, others, entries``: the ``degree`` nearest found of each of the ``n`` vectors in ``units`` (``id, unit``), nearest first;
+    ``entries`` has them with similarities, packed.
 
     The first lists come from blocks of vectors that lie next to each other in the order of random projections; range
     partitioning keeps the blocks even, however dense a region is. Each step then joins lists, reverse lists and vectors,
@@ -294,7 +320,7 @@ def neighbour_graph(
     precision. Every step is written to the shared folder, so lost executors repeat one step at most.
     """
     if n < 2:
-        return map_arrow(units.limit(0), lambda batches: iter(()), _LISTS)
+        return map_arrow(units.limit(0), lambda batches: iter(()), _GRAPH).select("id", "others", "entries")
     degree = min(degree, n - 1)
     groups = max(12, -(-n // GROUP))
     coded = map_arrow(units, _coded(tables, DIMENSIONS, seed), "place double, id bigint, half binary")
@@ -302,21 +328,19 @@ def neighbour_graph(
     arranged = coded.repartitionByRange(parts, "place").sortWithinPartitions("place")
     first = map_arrow(arranged, _first_lists(block, degree), _LISTS)
     halves = written(map_arrow(units, lambda batches: (pa.RecordBatch.from_arrays([b.column("id"), pa.array([u.tobytes() for u in _matrix(b.column("unit")).astype(np.float16)], pa.binary())], ["id", "bytes"]) for b in batches if b.num_rows), "id bigint, bytes binary"), "halves")
-    graph = written(_merged(first.withColumn("old", F.lit(False)), degree), "graph")
+    graph = written(_merged(first, degree), "graph")
     for _ in range(most_steps):
-        changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
+        changed = graph.agg(F.sum("changed")).first()[0] or 0
         if changed < least_change * n * degree:
             break
-        full = F.when(F.size("others") >= degree, F.element_at("similarities", -1)).otherwise(F.lit(-2.0).cast("float"))
-        vectors = halves.join(graph.select("id", full.alias("least")), "id")
-        own = graph.select("id", "others", "similarities", "fresh", F.lit(True).alias("forth"))
-        back = map_arrow(graph, _reversed(degree), f"{_LISTS}, fresh array<boolean>").withColumn("forth", F.lit(False))
+        vectors = halves.join(graph.select("id", "least"), "id")
+        own = graph.select("id", "entries", F.lit(True).alias("forth"))
+        back = map_arrow(graph.select("id", "entries"), _reversed(degree), _LISTS).withColumn("forth", F.lit(False))
         pairs = graph.select("id", F.explode("others").alias("other"))
         needed = pairs.select(F.col("id").alias("owner"), F.col("other").alias("id")).union(pairs.select(F.col("other").alias("owner"), "id"))
         offered = _grouped(own.unionByName(back), needed, vectors, groups, _step(degree), _LISTS)
-        lists = offered.withColumn("old", F.lit(False)).unionByName(graph.select("id", "others", "similarities", F.lit(True).alias("old")))
-        graph = written(_merged(lists, degree), "graph")
-    return graph.select("id", "others", "similarities")
+        graph = written(_merged(offered.unionByName(map_arrow(graph.select("id", "entries"), _aged, _LISTS)), degree), "graph")
+    return graph.select("id", "others", "entries")
 
 
 def _exact(ids: np.ndarray, unit: np.ndarray, least: np.ndarray, owner: np.ndarray, other: np.ndarray, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -344,9 +368,9 @@ def most_similar(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: s
     leading = written(leading.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids")), "leading")  # k + 1 at most
 
     graph = neighbour_graph(single, n, **settings)
-    nearest = graph.select("id", *(F.slice(c, 1, k + 6).alias(c) for c in ("others", "similarities")))
-    near = nearest.select("id", "others", "similarities", F.transform("others", lambda x: F.lit(True)).alias("fresh"), F.lit(True).alias("forth"))
-    needed = near.select(F.col("id").alias("owner"), F.explode(F.concat("others", F.array("id"))).alias("id"))
+    few = k + 6
+    near = graph.select("id", F.substring("entries", 1, few * _ENTRY.itemsize).alias("entries"), F.lit(True).alias("forth"))
+    needed = graph.select(F.col("id").alias("owner"), F.explode(F.concat(F.slice("others", 1, few), F.array("id"))).alias("id"))
     exact = _grouped(
         near, needed, single.select("id", F.col("unit").alias("bytes"), F.lit(0.0).cast("float").alias("least")), max(12, -(-n // GROUP)), _by_group(_exact, 0), "id bigint, other bigint, cosine double"
     )
