@@ -168,6 +168,30 @@ def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed_graphs(spark, sf_dir).where("graph IS NOT NULL").select("content_id", "scene_idx", "graph")
 
 
+def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed_graphs(spark, sf_dir).where("mode = 'native'").select("content_id", "scene_idx", "graph")
+
+
+def native_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context texts of the graphs without repair."""
+    return B.contexts(_native(spark, sf_dir))
+
+
+def native_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node texts of the graphs without repair; those of an entity with its number in the text."""
+    nodes = B.nodes(_native(spark, sf_dir))
+    return nodes.select("content_id", "scene_idx", "kind", "key", "text")
+
+
+def native_role_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Role states of the graphs without repair, with the key of the linked entity."""
+    native = _native(spark, sf_dir)
+    nodes = B.nodes(native).select("content_id", "scene_idx", "node", "key")
+    linked = B.role_states(native).join(nodes.withColumnRenamed("node", "action_node").withColumnRenamed("key", "action"), ["content_id", "scene_idx", "action_node"])
+    named = linked.join(nodes.withColumnRenamed("node", "entity_node").withColumnRenamed("key", "entity"), ["content_id", "scene_idx", "entity_node"], "left")
+    return named.select("content_id", "scene_idx", "action", "role", "state", "entity")
+
+
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.nodes(_admitted(spark, sf_dir))
 
@@ -221,7 +245,7 @@ QUERIES = {
     for f in (
         catalog_rank, hr_ndcg, inbatch_negative_mask, inbatch_loss, seed_mean_sd, relative_change, user_seed_means, bootstrap_means, pairwise_comparisons,
         run_comparison, early_stopping, trailing_throughput, tumbling_counts, sliding_counts, session_windows, vocabulary_ids, graph_text_parse, native_graphs,
-        graph_nodes, graph_edges, graph_role_states, graph_contexts, graph_vocabulary, graph_statistics, scene_offsets, group_vector_mean, hyperedge_messages,
+        native_contexts, native_nodes, native_role_states, graph_nodes, graph_edges, graph_role_states, graph_contexts, graph_vocabulary, graph_statistics, scene_offsets, group_vector_mean, hyperedge_messages,
     )
 }
 
@@ -265,13 +289,17 @@ uncut AS (SELECT * FROM ranked WHERE r = 1 AND error IS NULL AND raw_output IS N
 
 #: Texts that a strict reader accepts, by one pattern: names and actions without marks inside.
 NATIVE = rf"""{UNCUT},
-ended AS (SELECT output_id, rtrim(raw_output, chr(32) || chr(10)) AS raw_output FROM uncut),
-sections AS (SELECT output_id, regexp_extract(raw_output, '(?s)\[Entities\]\n(.*)\n\[Actions\]', 1) AS e, regexp_extract(raw_output, '(?s)\[Actions\]\n(.*)$', 1) AS a,
+ended AS (SELECT output_id, content_id, scene_idx, rtrim(raw_output, chr(32) || chr(10)) AS raw_output FROM uncut),
+sections AS (SELECT output_id, content_id, scene_idx, regexp_extract(raw_output, 'format: ([^\n]+)', 1) AS format, regexp_extract(raw_output, '(?s)\[Entities\]\n(.*)\n\[Actions\]', 1) AS e, regexp_extract(raw_output, '(?s)\[Actions\]\n(.*)$', 1) AS a,
     regexp_extract(raw_output, 'medium: ([^\n]+)', 1) AS medium, regexp_extract(raw_output, 'topics: ([^\n]+)', 1) AS topics, raw_output FROM ended),
 rows AS (SELECT *, string_split(e, chr(10)) AS es, CASE WHEN a = 'none' THEN [] ELSE string_split(a, chr(10)) END AS acts FROM sections),
 strict AS (SELECT *, [string_split(x, '; ')[1] FOR x IN es] AS names FROM rows
     WHERE regexp_full_match(raw_output, '\[Context\]\nmedium: [^\n]+\nformat: [^\n]+\ntopics: [^\n]+\n\[Entities\]\n(?:[^\n;:\[]+(?:; [^\n;:]+)*\n)+\[Actions\]\n(?:none|[^\n;]+ - [^\n;]+ - [^\n;]+(?:; [^\n;]+; [^\n;]+)?(?:\n[^\n;]+ - [^\n;]+ - [^\n;]+(?:; [^\n;]+; [^\n;]+)?)*)')),
-refs AS (SELECT *, list_bool_and([x IN ('none', 'unknown') OR list_contains(names, x) FOR x IN flatten([[string_split(l, ' - ')[1], string_split(string_split(l, ' - ')[3], '; ')[1], string_split(l, '; ')[2], string_split(l, '; ')[3]] FOR l IN acts]) IF x IS NOT NULL]) AS declared FROM strict)"""
+refs AS (SELECT *, list_bool_and([x IN ('none', 'unknown') OR list_contains(names, x) FOR x IN flatten([[string_split(l, ' - ')[1], string_split(string_split(l, ' - ')[3], '; ')[1], string_split(l, '; ')[2], string_split(l, '; ')[3]] FOR l IN acts]) IF x IS NOT NULL]) AS declared FROM strict),
+native AS (SELECT * FROM refs WHERE coalesce(declared, true)),
+steps AS (SELECT content_id, scene_idx, names, k - 1 AS k, string_split(acts[k], '; ') AS p FROM (SELECT *, unnest(range(1, len(acts) + 1)) AS k FROM native)),
+bodies AS (SELECT *, string_split(p[1], ' - ') AS b FROM steps),
+roles AS (SELECT content_id, scene_idx, names, k, unnest([b[1], b[3], coalesce(p[2], 'none'), 'none', coalesce(p[3], 'unknown')]) AS value, unnest([0, 1, 2, 3, 4]) AS role FROM bodies)"""
 
 ORACLE = {
     "catalog_rank": f"WITH {RANKS} SELECT * FROM ranks",
@@ -307,6 +335,20 @@ ORACLE = {
     "vocabulary_ids": r"""WITH t AS (SELECT coalesce(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '') AS text, min(doc_id) AS p FROM (SELECT doc_id, text FROM documents UNION ALL SELECT NULL, '') GROUP BY 1)
         SELECT md5(text) AS text_md5, CASE WHEN text = '' THEN 0 ELSE row_number() OVER (ORDER BY text = '', p, text) END AS text_id FROM t""",
     "native_graphs": rf"""WITH {NATIVE} SELECT output_id, len(es) AS entities, len(acts) AS actions, medium, CASE WHEN topics = 'none' THEN '' ELSE topics END AS topics FROM refs WHERE coalesce(declared, true)""",
+    "native_contexts": rf"""WITH {NATIVE} SELECT content_id, scene_idx, 'Format: ' || format || chr(10) || 'Medium: ' || medium || chr(10) || 'Topics: ' ||
+        CASE WHEN topics = 'none' THEN '' ELSE array_to_string(list_sort(string_split(topics, '; ')), ', ') END AS text FROM native""",
+    "native_nodes": rf"""WITH {NATIVE}, e AS (SELECT content_id, scene_idx, k, string_split(es[k], '; ') AS p FROM (SELECT *, unnest(range(1, len(es) + 1)) AS k FROM native))
+        SELECT content_id, scene_idx, 0 AS kind, 'e' || k AS key, trim('Name: ' || p[1] || chr(10) || 'Attributes: ' || array_to_string(list_sort(p[2:]), ', ')) AS text FROM e
+        UNION ALL SELECT content_id, scene_idx, 1, 'action_' || k, b[2] FROM bodies""",
+    "native_role_states": rf"""WITH {NATIVE} SELECT content_id, scene_idx, 'action_' || k AS action, role, CASE WHEN value = 'unknown' THEN 1 WHEN value = 'none' THEN 0 ELSE -1 END AS state,
+        CASE WHEN value NOT IN ('none', 'unknown') THEN 'e' || (len(names) + 1 - list_position(list_reverse(names), value)) END AS entity FROM roles""",
+    "early_stopping": """WITH RECURSIVE curve AS (SELECT arm AS run, e AS epoch, (CAST('0x' || substr(md5(concat_ws('|', arm, e)), 1, 8) AS BIGINT) % 1000 + 20 * e) / 1000.0::DOUBLE AS score
+            FROM generation_arms, range(1, 51) t(e)),
+        s AS (SELECT run, 1 AS epoch, 1 AS best, score AS top, 1 AS moved, score AS level, false AS stop FROM curve WHERE epoch = 1
+            UNION ALL SELECT s.run, s.epoch + 1, CASE WHEN c.score > top THEN c.epoch ELSE best END, greatest(c.score, top), CASE WHEN c.score > level + 0.01::DOUBLE THEN c.epoch ELSE moved END,
+                CASE WHEN c.score > level + 0.01::DOUBLE THEN c.score ELSE level END, c.epoch - CASE WHEN c.score > level + 0.01::DOUBLE THEN c.epoch ELSE moved END >= 5
+            FROM s JOIN curve c ON s.run = c.run AND c.epoch = s.epoch + 1 WHERE NOT stop)
+        SELECT run, CAST(arg_max(best, epoch) AS INTEGER) AS best_epoch, arg_max(top, epoch) AS best_score, CAST(max(epoch) AS INTEGER) AS stop_epoch FROM s GROUP BY 1""",
     "scene_offsets": "WITH s AS (SELECT DISTINCT content_id, scene_idx FROM scene_outputs), n AS (SELECT *, row_number() OVER (ORDER BY content_id, scene_idx) - 1 AS r FROM s) SELECT content_id, min(r) AS first_scene, count(*) AS scenes FROM n GROUP BY 1",
     "group_vector_mean": f"""WITH v AS (SELECT content_id, [round(CAST(x AS DOUBLE) * 1000) FOR x IN vec] AS v FROM feature_vectors WHERE content_id IS NOT NULL AND {USABLE_VECTOR}),
         p AS (SELECT content_id, d, avg(v[d]) AS m, count(*) AS n FROM v, range(1, 65) t(d) GROUP BY 1, 2),
