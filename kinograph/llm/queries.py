@@ -99,9 +99,60 @@ grown AS (
         SELECT g.k + 1 AS k, g.pattern || '>' || h.i AS pattern, g.u, min(h.p) AS p FROM grown g JOIN h ON g.u = h.u AND h.p > g.p GROUP BY g.k, g.pattern, h.i, g.u))
     WHERE users >= 12)"""
 
+_MEASURES = {
+    "characters": "length(t)",
+    "utf8_bytes": "strlen(t)",
+    "utf16_units": "length(t) + wide",
+    "html_escaped": "length(t) + 4 * (length(t) - length(replace(t, '&', ''))) + 3 * (length(t) - length(replace(replace(t, '<', ''), '>', ''))) + 5 * quotes + 4 * (length(t) - length(replace(t, chr(39), '')))",
+    "json_escaped": "length(t) + escaped",
+    "json_ascii": r"length(t) + escaped + 5 * length(regexp_replace(t, '[\x00-\x7F]+', '', 'g')) + 6 * wide",
+    "crlf_lines": "length(t) + lines - (length(t) - length(replace(t, chr(13) || chr(10), ''))) // 2",
+}
+
+#: Outputs with text, their lengths in all stored forms, and the lengths at which the different texts of an arm pile up.
+LIMITS = rf"""
+texts AS (SELECT output_id, arm, raw_output AS t, tokens, coalesce(finish_reason, '') AS reason, coalesce(list_contains(warning, 'TOKEN_LIMIT'), false) AS warned
+    FROM scene_outputs WHERE regexp_matches(raw_output, '\S')),
+parts AS (SELECT DISTINCT arm, t, length(t) - length(replace(t, '"', '')) AS quotes, length(t) - length(replace(t, chr(10), '')) AS lines,
+    len(regexp_extract_all(t, '[\x{{10000}}-\x{{10FFFF}}]')) AS wide FROM texts),
+forms AS (SELECT *, quotes + lines + length(t) - length(replace(t, chr(13), '')) + length(t) - length(replace(t, chr(9), '')) + length(t) - length(replace(t, chr(92), '')) AS escaped FROM parts),
+lengths AS ({" UNION ALL ".join(f"SELECT arm, t, '{m}' AS measure, CAST({c} AS BIGINT) AS length FROM forms" for m, c in _MEASURES.items())}),
+counts AS (SELECT arm, measure, length, count(*) AS texts FROM lengths GROUP BY 1, 2, 3),
+near AS (SELECT a.arm, a.measure, a.length, a.texts, coalesce(sum(b.texts), 0) AS near FROM counts a LEFT JOIN counts b
+    ON a.arm = b.arm AND a.measure = b.measure AND a.length <> b.length AND b.length BETWEEN a.length - 10 AND a.length + 10 GROUP BY 1, 2, 3, 4),
+limits AS (SELECT arm, measure, length, texts FROM near JOIN (SELECT arm, count(*) AS total FROM parts GROUP BY 1) USING (arm)
+    WHERE texts >= 12 AND texts >= 5 * near / 20.0 AND texts >= 0.005 * total)"""
+
+ENDINGS = rf"""{LIMITS},
+hits AS (SELECT l.arm, l.t, min(measure) AS measure FROM lengths l JOIN limits USING (arm, measure, length) GROUP BY 1, 2),
+bodies AS (SELECT x.*, a.representation = 'graph' AS graph, max_new_tokens AS most, h.measure, regexp_matches(x.t, '^\s*```') AS fenced,
+    string_split(replace(regexp_replace(x.t, '^\s*```[^\n]*\n|\n```\s*$|\s+$', '', 'g'), chr(13) || chr(10), chr(10)), chr(10)) AS lines
+    FROM texts x LEFT JOIN generation_arms a ON x.arm = a.arm LEFT JOIN hits h ON x.arm = h.arm AND x.t = h.t),
+ends AS (SELECT *, lines[-1] AS last, [l FOR l IN lines IF regexp_full_match(l, '(?i)\W*(?:context|entities|actions)\W*')][-1] AS section,
+    trim(string_split(lines[-1], '; ')[-1]) AS place, [trim(n) FOR n IN flatten([string_split(string_split(l, ';')[1], ':') FOR l IN lines])] AS names FROM bodies),
+complete AS (SELECT *, CASE WHEN graph THEN (NOT fenced OR regexp_matches(t, '\n```\s*$')) AND coalesce(lower(section) LIKE '%actions%', false)
+        AND (trim(last) = 'none' OR regexp_matches(last, '^[^;]*?\S - [^;]*?\S - [^;]+; [^;]+; [^;]+$') AND (place IN ('unknown', 'none') OR list_contains(names, place)))
+    ELSE regexp_matches(t, '(?s)[.!?…。！？](?:["''”’»」』)\]*`\s]|[\p{{So}}\p{{Sk}}\x{{FE0F}}\x{{200D}}])*$') AND NOT regexp_matches(t, '(?i)\b(?:e\.g|i\.e|cf|vs|approx|fig|mr|mrs|ms|dr)\.\s*$')
+        AND NOT (fenced AND NOT regexp_matches(t, '```\s*$')) AND NOT regexp_matches(t, '(?s)\([^()]*$') END AS whole,
+    regexp_matches(reason, '(?i)length|max_?tokens|token_?limit') OR warned AS says FROM ends),
+judged AS (SELECT output_id, arm, measure, CASE WHEN says OR (coalesce(tokens >= most, false) AND NOT regexp_matches(reason, '(?i)stop|end_?turn|eos')) THEN 'token_limit'
+    WHEN measure IS NOT NULL AND (NOT whole OR coalesce(length(regexp_replace(t, '[^\x00-\x7F]+', '', 'g')) > 0.9 * length(t) AND NOT coalesce(tokens >= most, false) AND length(t) < 3.45 * tokens, false)) THEN 'storage_limit'
+    WHEN NOT whole THEN 'transfer' END AS cause FROM complete)"""
+
 ORACLE = {
+    "p5_limits": f"WITH {LIMITS} SELECT arm, measure, length, texts FROM limits",
+    "p5_found": f"WITH {ENDINGS} SELECT output_id FROM judged WHERE cause IS NOT NULL",
+    "p5_judged": f"WITH {ENDINGS} SELECT output_id, arm, cause IS NOT NULL AS cut, cause, CASE WHEN cause = 'storage_limit' THEN measure END AS limit_measure FROM judged",
+    "p5_shares": f"""WITH {ENDINGS} SELECT arm, count(*) AS outputs, count(cause) AS cut, count(cause) / CAST(count(*) AS DOUBLE) AS share,
+        {", ".join(f"count(*) FILTER (cause = '{c}') AS {c}" for c in ("token_limit", "storage_limit", "transfer"))} FROM judged GROUP BY 1""",
     "p1_found": f"WITH RECURSIVE {SEQUENCES} SELECT DISTINCT pattern FROM grown WHERE k > 1",
     "p1_supports": f"WITH RECURSIVE {SEQUENCES} SELECT DISTINCT pattern, users FROM grown WHERE k > 1",
+    "p6_found": """WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN vec] AS v FROM feature_vectors WHERE len(vec) = 64
+            AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN vec]) AND list_bool_or([x <> 0 FOR x IN vec])),
+        u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v),
+        c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / a.n / b.n AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM c WHERE s >= 0.9)
+        SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE r <= 10""",
     "p7_not_restored": "SELECT doc_id FROM documents WHERE false",
     "p4_found": f"WITH {PAIRS} SELECT item_a, item_b FROM lifts WHERE users * total >= 2 * users_a * users_b",
     "p4_pairs": f"""WITH {PAIRS} SELECT item_a, item_b, users, users_a, users_b,

@@ -110,7 +110,7 @@ def judged_outputs(outputs: DataFrame, arms: DataFrame) -> DataFrame:
         F.coalesce(F.array_contains("warning", "TOKEN_LIMIT"), F.lit(False)).alias("warned"),
     ).where(F.col("raw_output").rlike(r"\S"))
     limits = written(storage_limits(named.select(F.coalesce("arm", F.lit("")).alias("arm"), "raw_output")), "limits")
-    by_length = limits.groupBy("arm").agg(F.collect_list(F.struct("measure", "length")).alias("limits"))  # at most 1 / LIMIT_SHARE a measure
+    by_length = limits.groupBy("arm").agg(F.array_sort(F.collect_list(F.struct("measure", "length"))).alias("limits"))  # at most 1 / LIMIT_SHARE a measure
     if limits.count() <= BROADCAST_ROWS:
         by_length = F.broadcast(by_length)
     joined = named.join(arms_known, "arm", "left").withColumn("arm_key", F.coalesce("arm", F.lit("")))
