@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinograph.functions import activity, sampling
 from kinograph.operators import outcomes as O
+from kinograph.operators import requests as Q
 from kinograph.operators import segments as S
 from kinograph.plans.problems import table
 
@@ -35,6 +36,15 @@ def missing_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.missing_scenes(windows(spark, sf_dir), table(spark, sf_dir, "scene_outputs").select("content_id", "scene_idx"))
 
 
+def scene_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of each scene, of which nine in ten are there, by digest."""
+    planned = windows(spark, sf_dir)
+    stems = sampling.keyframes(planned).select("content_id", "stem").distinct()
+    there = stems.where(S.hash_number("content_id", "stem") % 10 > 0).withColumn("path", F.concat_ws("/", "content_id", F.concat("stem", F.lit(".png"))))
+    evidence = Q.scene_evidence(planned, there)
+    return evidence.select("task_id", F.array_join("paths", ",").alias("paths"), "missing")
+
+
 def latest_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored row of each scene and representation: the one of the last output."""
     outputs = table(spark, sf_dir, "scene_outputs").join(F.broadcast(table(spark, sf_dir, "generation_arms").select("arm", "representation")), "arm")
@@ -159,7 +169,7 @@ def segment_overlap_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fixed_windows, keyframe_timestamps, evidence_totals, missing_scenes, latest_scene_upsert, scene_tags, outcome_histogram, scene_admission, scene_coverage,
+        fixed_windows, keyframe_timestamps, evidence_totals, missing_scenes, scene_requests, latest_scene_upsert, scene_tags, outcome_histogram, scene_admission, scene_coverage,
         pending_scenes, best_passes, repeated_lines, activity_keys, activity_segments, segment_list, segment_length_distribution, segment_summary, action_bag,
         contiguous_starts, time_window_variant, random_variant, segment_overlap_jaccard,
     )
@@ -223,6 +233,11 @@ ORACLE = {
     "evidence_totals": f"WITH {WINDOWS} SELECT count(DISTINCT content_id) AS videos, count(*) AS scenes, CAST(sum(len(ticks)) AS BIGINT) AS frames FROM frames",
     "missing_scenes": f"""WITH {WINDOWS}, x AS (SELECT content_id, scene_idx, EXISTS (SELECT 1 FROM scene_outputs o WHERE o.content_id = f.content_id AND o.scene_idx = f.scene_idx) AS there FROM frames f)
         SELECT content_id, count(*) AS expected, count(*) FILTER (NOT there) AS missing, count(*) FILTER (NOT there) = 0 AS complete FROM x GROUP BY 1""",
+    "scene_requests": f"""WITH {WINDOWS}, k AS (SELECT content_id, scene_idx, unnest(ticks) AS t FROM frames),
+        n AS (SELECT *, lpad(CAST(t // 10 AS VARCHAR), 4, '0') || CASE WHEN t % 10 > 0 THEN '_' || (t % 10) ELSE '' END AS stem FROM k),
+        p AS (SELECT *, {_HASH.format("content_id, stem")} % 10 > 0 AS there FROM n)
+        SELECT content_id || ':' || scene_idx AS task_id, coalesce(string_agg(content_id || '/' || stem || '.png', ',' ORDER BY t) FILTER (there), '') AS paths, count(*) FILTER (NOT there) AS missing
+        FROM p GROUP BY content_id, scene_idx""",
     "latest_scene_upsert": f"WITH {STORED} SELECT content_id, scene_idx, representation, output_id, arm FROM latest",
     "scene_tags": f"WITH {STORED}, {_tagged('latest')} SELECT content_id, scene_idx, representation, outcome, again FROM tagged",
     "outcome_histogram": f"""WITH s AS (SELECT o.*, representation FROM scene_outputs o JOIN generation_arms USING (arm)), {_tagged("s")} SELECT arm, count(*) AS total,
