@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinograph.operators import catalog as C
 from kinograph.operators import cohort as K
 from kinograph.plans.problems import table
+from kinograph.session import written
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,11 @@ def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.retained_sequences(log(spark, sf_dir))
 
 
+def stored_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The retained sequences, a small part of the log, for queries that need them more than once."""
+    return written(retained(spark, sf_dir), "retained")
+
+
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.leave_one_out(retained(spark, sf_dir))
 
@@ -65,7 +71,7 @@ def catalog_item_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = retained(spark, sf_dir)
+    kept = stored_retained(spark, sf_dir)
     inputs = K.history_inputs(kept, K.item_index(kept))
     return inputs.withColumn("history", F.array_join(F.col("history").cast("array<string>"), ","))
 

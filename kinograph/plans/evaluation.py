@@ -14,7 +14,7 @@ from kinograph.operators import throughput as T
 from kinograph.operators import vectors as V
 from kinograph.operators.indexing import dense_index, first_seen_ids
 from kinograph.operators.segments import hash_number
-from kinograph.plans.cohorts import RETAINED, retained, split
+from kinograph.plans.cohorts import RETAINED, retained, stored_retained
 from kinograph.plans.media import latest_scenes
 from kinograph.plans.problems import table
 
@@ -30,7 +30,7 @@ def catalog_vectors(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataF
 
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = retained(spark, sf_dir)
+    kept = stored_retained(spark, sf_dir)
     index = K.item_index(kept)
     tests = K.history_inputs(kept, index).join(kept.where("back = 1 AND position > 0").select("event_id"), "event_id", "left_semi")
     items = catalog_vectors(spark, sf_dir, index)
@@ -46,28 +46,28 @@ def hr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.agg(F.count("*").alias("events"), *(F.round(F.avg(F.col(f"`{c}`")), 9).alias(c.replace("@", "_")) for c in scored.columns))
 
 
-def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    kept = retained(spark, sf_dir)
+def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    kept = stored_retained(spark, sf_dir)
     index = K.item_index(kept)
     train = K.history_inputs(kept, index).join(kept.where("back > 2 AND position > 0").select("event_id"), "event_id", "left_semi")
     rows = dense_index(train.select("event_id", "target", "history"), ["event_id"], "n")
     batch = rows.select("event_id", "target", "history", F.floor(F.col("n") / BATCH).alias("batch_id"), (F.col("n") % BATCH).alias("row"))
-    return batch, index
+    return batch, index, kept
 
 
 def inbatch_negative_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch, _ = _batches(spark, sf_dir)
+    batch, _, _ = _batches(spark, sf_dir)
     masked = R.negative_mask(batch)
     return masked.groupBy("batch_id", "row").agg(F.count("*").alias("others"), F.count_if("masked").alias("masked"))
 
 
 def inbatch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch, index = _batches(spark, sf_dir)
+    batch, index, kept = _batches(spark, sf_dir)
     items = catalog_vectors(spark, sf_dir, index)
     users = R.user_vectors(batch.select("event_id", "target", "history"), items)
     targets = items.select(F.col("item_idx").alias("target"), F.col("vector").alias("target_vector"))
     vectors = users.where("vector IS NOT NULL").join(targets, "target").select("event_id", F.col("vector").alias("user_vector"), "target_vector")
-    log_q = K.popularity(split(spark, sf_dir)).join(index, "item").select(F.col("item_idx").alias("target"), "log_q")
+    log_q = K.popularity(K.leave_one_out(kept)).join(index, "item").select(F.col("item_idx").alias("target"), "log_q")
     return R.in_batch_loss(batch, vectors, log_q, 1e7).withColumn("loss", F.round("loss", 6))
 
 
