@@ -10,19 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinograph.llm.tokens import RANK_FILE, encode, encoding, rank_file, text_bytes
-from kinograph.session import map_arrow
+from kinograph.operators.indexing import dense_index
+from kinograph.session import map_arrow, written
 
 CAPACITY = 2048
 #: Items and tokens of one shard of the index, at most (and one item more).
 SHARD_ITEMS, SHARD_TOKENS = 2048, 1 << 20
+#: Containers that are filled in one round, and neighbours that are listed for each, for each halving of its room. Where a list
+#: ends before its container is full, the container asks again in the next round.
+SEEDS, LISTED = 2048, 16
+#: Containers are open at once only while so many times their room is unused, so the last ones find enough to fill them.
+UNUSED_TIMES = 4
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 
 
 class Shard:
-    """An inverted index of the items of one shard, with the BM25 weight of each term in each item."""
+    """An inverted index of the items of one shard, with the BM25 weight of each term in each item.
 
-    def __init__(self, items: list[np.ndarray]):
+    ``corpus``: number of items, mean length, terms (ascending) and their document frequencies, of which the shard is a part;
+    those of the shard itself if None. With them, scores do not depend on how the corpus is divided.
+    """
+
+    def __init__(self, items: list[np.ndarray], corpus: tuple[int, float, np.ndarray, np.ndarray] | None = None):
         n = len(items)
         self.size = np.fromiter(map(len, items), np.int64, n)
         tokens = np.concatenate(items) if n else np.empty(0, np.int64)
@@ -31,8 +41,12 @@ class Shard:
         key, count = np.unique(code * max(n, 1) + owner, return_counts=True)  # by term, then item
         term, self.item = key // max(n, 1), key % max(n, 1)
         df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * self.size / max(self.size.mean(), 1)) if n else np.empty(0)
+        if corpus is None:
+            corpus = (n, self.size.mean() if n else 0.0, self.terms, df)
+        total, mean, known, frequency = corpus
+        spread = frequency[np.searchsorted(known, self.terms)]
+        idf = np.log1p((total - spread + 0.5) / (spread + 0.5))
+        norm = K1 * (1 - B + B * self.size / max(mean, 1))
         self.weight = (idf[term] * count * (K1 + 1) / (count + norm[self.item])).astype(np.float32)
         self.begin = np.concatenate([[0], np.cumsum(df)])
         order = np.argsort(self.item, kind="stable")
@@ -41,14 +55,23 @@ class Shard:
 
     def scores(self, item: int) -> np.ndarray:
         """BM25 scores of all items for the terms of one."""
-        terms = self.term_of_item[self.item_begin[item] : self.item_begin[item + 1]]
+        return self._scores(self.term_of_item[self.item_begin[item] : self.item_begin[item + 1]])
+
+    def scores_of(self, tokens: np.ndarray) -> np.ndarray:
+        """BM25 scores of all items for different ``tokens``, ascending, of any item of the corpus."""
+        at = np.searchsorted(self.terms, tokens)
+        inside = at < len(self.terms)
+        at, tokens = at[inside], tokens[inside]
+        return self._scores(at[self.terms[at] == tokens])
+
+    def _scores(self, terms: np.ndarray) -> np.ndarray:
         first, length = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
         at = np.arange(length.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
         return np.bincount(self.item[at], self.weight[at], len(self.size))
 
 
 def fill(items: list[np.ndarray], capacity: int) -> list[list[int]]:
-    """Containers of one shard, as lists of item numbers.
+    """Containers of one shard, as lists of item numbers; the plain form of what ``pack_documents`` does with all shards.
 
     The largest unused item is the seed. The index returns the unused items by falling score, and each that fits goes into
     the seed's window, until no unused item fits. Ties go to the earlier item.
@@ -77,60 +100,208 @@ def fill(items: list[np.ndarray], capacity: int) -> list[list[int]]:
     return containers
 
 
-SCHEMA = "doc_id bigint, piece int, first_token bigint, tokens int, container string"
+_ITEMS = "doc_id bigint, piece int, first_token bigint, tokens int, ids binary"
 
 
-def _packing(ranks, capacity: int, shard_items: int, shard_tokens: int):
+def _items(ranks, capacity: int):
+    """Full containers of large documents (without ``ids``), and the item of every document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoding(ranks.value)
-        names: list[tuple[int, int, int]] = []
-        items: list[np.ndarray] = []
-        rows: list[tuple] = []
-        held = 0
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("bytes"), strict=True):
+                ids = np.array(encode(tokenizer, value.as_py()), np.int32)
+                whole = (len(ids) - 1) // capacity if len(ids) else 0
+                rows += [(doc, k, k * capacity, capacity, None) for k in range(whole)]
+                rest = ids[whole * capacity :]
+                rows.append((doc, whole, whole * capacity, len(rest), rest.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "first_token", "tokens", "ids"])
 
-        def name(k: int) -> str:
-            return f"{names[k][0]}:{names[k][1]}"
+    return run
+
+
+def _tokens(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, np.int32).astype(np.int64)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``term, items``: for each batch, in how many of its items a term is."""
+    for batch in batches:
+        if batch.num_rows:
+            terms, n = np.unique(np.concatenate([np.unique(_tokens(x)) for x in batch.column("ids").to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], ["term", "items"])
+
+
+def _listed(number: np.ndarray, size: np.ndarray, score: np.ndarray, room: int, listed: int) -> np.ndarray:
+    """Places of the ``listed`` best of the items that fit into ``room``, into half of it, and so on, by falling score, then number."""
+    order = np.lexsort((number, -score))
+    kept = np.zeros(len(order), bool)
+    while room > 0:
+        fits = np.flatnonzero(size[order] <= room)
+        kept[fits[:listed]] = True
+        if len(fits) < listed:  # so all smaller ones are in
+            break
+        room //= 2
+    return order[kept]
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "first_token", "tokens", "container"])
 
-        def packed() -> pa.RecordBatch:
-            nonlocal names, items, rows, held
-            for inside in fill(items, capacity):
-                rows += [(*names[k], len(items[k]), name(inside[0])) for k in inside]
-            result = batch_of(rows)
-            names, items, rows, held = [], [], [], 0
-            return result
+def _neighbours(corpus, size, used, asked, listed: int, shard_items: int, shard_tokens: int):
+    """``seed, numbers, scores``: for each seed the best unused items after it, of all items that the task reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, taken, seeds = size.value, used.value, asked.value
+        found = [(np.empty(0, np.int64), np.empty(0)) for _ in seeds]
+        numbers: list[int] = []
+        items: list[np.ndarray] = []
+        held = 0
+
+        def search() -> None:
+            nonlocal numbers, items, held
+            shard, number = Shard(items, corpus.value), np.array(numbers)
+            for k, (seed, room, terms) in enumerate(seeds):
+                fits = np.flatnonzero((number > seed) & (shard.size <= room))
+                if len(fits):
+                    score = shard.scores_of(terms)[fits]
+                    fits_number = number[fits]
+                    if len(found[k][0]):
+                        fits_number, score = np.concatenate([found[k][0], fits_number]), np.concatenate([found[k][1], score])
+                    best = _listed(fits_number, sizes[fits_number], score, room, listed)
+                    found[k] = fits_number[best], score[best]
+            numbers, items, held = [], [], 0
 
         for batch in batches:
-            for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("bytes"), strict=True):
-                ids = np.array(encode(tokenizer, value.as_py()), np.int64)
-                whole = (len(ids) - 1) // capacity if len(ids) else 0
-                rows += [(doc, k, k * capacity, capacity, f"{doc}:{k}") for k in range(whole)]
-                names.append((doc, whole, whole * capacity))
-                items.append(ids[whole * capacity :])
+            for n, value in zip(batch.column("n").to_pylist(), batch.column("ids"), strict=True):
+                if taken[n]:
+                    continue
+                numbers.append(n)
+                items.append(_tokens(value.as_py()))
                 held += len(items[-1])
                 if len(items) >= shard_items or held >= shard_tokens:
-                    yield packed()
-        yield packed()
+                    search()
+        if items:
+            search()
+        some = [k for k, (number, _) in enumerate(found) if len(number)]
+        columns = [pa.array([seeds[k][0] for k in some], pa.int64()), *(pa.array([found[k][c].tobytes() for k in some], pa.binary()) for c in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, ["seed", "numbers", "scores"])
 
     return run
 
 
+def _fill_from(number: np.ndarray, size: np.ndarray, used: np.ndarray, room: int, listed: int) -> tuple[list[int], int, bool]:
+    """Items that go into a container of ``room``, what room is left, and whether no unused item fits any more.
+
+    ``number``: the neighbours as from ``_listed`` for this room, with their sizes ``size``.
+    """
+    inside: list[int] = []
+    limit = room
+    while room > 0:
+        while limit // 2 >= room and np.count_nonzero(size <= limit) >= listed:
+            limit //= 2
+        whole = np.flatnonzero(size <= limit)
+        ends = len(whole) < listed  # all that fit are in the list
+        for k in (whole if ends else whole[:listed]).tolist():
+            if size[k] <= room and not used[number[k]]:
+                break
+        else:
+            return inside, room, ends
+        used[number[k]] = True
+        inside.append(int(number[k]))
+        room -= int(size[k])
+    return inside, room, True
+
+
+def _seeds_of(stored: DataFrame, n: int, capacity: int, listed: int, seeds: int, shard_items: int, shard_tokens: int) -> np.ndarray:
+    """The seed's number of every item. ``stored``: ``n, tokens, ids`` of the items, numbered by falling size."""
+    context = stored.sparkSession.sparkContext
+    by_size = sorted(((r.tokens, r.items) for r in stored.groupBy("tokens").agg(F.count("*").alias("items")).collect()), reverse=True)  # of at most ``capacity``
+    size = np.repeat(np.array([s for s, _ in by_size], np.int64), [c for _, c in by_size])
+    filled = int(np.count_nonzero(size))
+    seed_of = np.zeros(n, np.int64)  # items without tokens fit into the first container
+    if not filled:
+        return seed_of
+    terms = map_arrow(stored.where("tokens > 0").select("ids"), _frequencies, "term bigint, items bigint").groupBy("term").agg(F.sum("items").alias("items")).toPandas().sort_values("term")
+    corpus = context.broadcast((n, size.mean(), terms["term"].to_numpy(np.int64), terms["items"].to_numpy(np.int64)))
+    sizes = context.broadcast(size)
+    used = size == 0
+    open_ones: list[tuple[int, int, np.ndarray]] = []
+    after = 0
+    while True:
+        new = np.flatnonzero(~used[after:])[: max(0, seeds - len(open_ones))] + after
+        room = sum(r for _, r, _ in open_ones) + np.cumsum(capacity - size[new])
+        new = new[: max(np.searchsorted(room, size[~used].sum() / UNUSED_TIMES, side="right"), 0 if open_ones else 1)]
+        asked = list(open_ones)
+        if len(new):
+            after = int(new[-1]) + 1
+            rows = stored.where(F.col("n").between(int(new[0]), int(new[-1]))).select("n", "ids").toArrow()
+            texts = dict(zip(rows.column("n").to_pylist(), rows.column("ids").to_pylist(), strict=True))
+            asked += [(k, capacity - int(size[k]), np.unique(_tokens(texts[k]))) for k in new.tolist()]
+        if not asked:
+            break
+        held = [context.broadcast(used), context.broadcast(asked)]
+        offered = map_arrow(stored.where("tokens > 0").select("n", "ids"), _neighbours(corpus, sizes, *held, listed, shard_items, shard_tokens), "seed bigint, numbers binary, scores binary").toArrow()
+        for x in held:
+            x.unpersist()
+        lists: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for seed, numbers, scores in zip(*(offered.column(c).to_pylist() for c in ("seed", "numbers", "scores")), strict=True):
+            lists.setdefault(seed, []).append((np.frombuffer(numbers, np.int64), np.frombuffer(scores)))
+        begun, open_ones = {k for k, _, _ in open_ones}, []
+        for seed, room, tokens in asked:
+            if seed not in begun:
+                if used[seed]:
+                    continue
+                used[seed], seed_of[seed] = True, seed
+            parts = lists.get(seed)
+            if not parts:
+                continue
+            number, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+            number = number[_listed(number, size[number], score, room, listed)]
+            inside, room, ends = _fill_from(number, size[number], used, room, listed)
+            seed_of[inside] = seed
+            if not ends:
+                open_ones.append((seed, room, tokens))
+    return seed_of
+
+
+SCHEMA = "doc_id bigint, piece int, first_token bigint, tokens int, container string"
+
+
 def pack_documents(
-    documents: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, shard_tokens: int = SHARD_TOKENS, path: str = RANK_FILE
-) -> DataFrame:
+    documents: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, shard_tokens: int = SHARD_TOKENS, path: str = RANK_FILE,
+    seeds: int = SEEDS, listed: int = LISTED,
+) -> DataFrame:
     """``doc_id, piece, first_token, tokens, container`` of every document, or of every piece of a document with more tokens
     than ``capacity``; the tokens of a container are at most ``capacity``. A container has the name of its seed.
 
     A document larger than a container is cut into full containers and a rest, which is packed like a document. Documents
-    without tokens (null or empty texts) are items of size 0 and go into some container too. Each task divides its documents,
-    in the order in which they are read, into shards of bounded size, each with its own BM25 index over the token ids of
-    whole texts, so nothing is shuffled and no shard grows with the input. Repeated texts are neighbours of each other.
-    ``doc_id`` should be unique and not null; further columns are ignored. No documents, no rows.
+    without tokens (null or empty texts) are items of size 0 and go into some container too. Items are numbered by falling
+    size, then ``doc_id``. Document frequencies, their number and the mean length are those of all items. In each round the
+    first ``seeds`` open containers and unused items ask all shards, over which the items are spread, for their best unused
+    neighbours anywhere; the lists are merged, and the containers take from them in the order of their seeds. A container
+    whose list ends too early asks again in the next round, after the later ones have taken from theirs, until no unused item
+    fits. So neither the division into shards nor the order of rows changes the containers, and repeated texts, wherever they
+    are, are neighbours of each other. Each seed is compared with all unused items, so time grows with the square of the
+    input. The driver holds two numbers for each item. ``doc_id`` should be unique and not null; further columns are ignored.
+    No documents, no rows.
     """
-    ranks = rank_file(documents.sparkSession, path)
+    spark = documents.sparkSession
+    ranks = rank_file(spark, path)
     named = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes("text").alias("bytes"))
-    return map_arrow(named, _packing(ranks, capacity, shard_items, shard_tokens), SCHEMA)
+    items = written(map_arrow(named, _items(ranks, capacity), _ITEMS), "items")
+    whole = items.where("ids IS NULL").withColumn("container", F.concat_ws(":", "doc_id", "piece"))
+    numbered = dense_index(items.where("ids IS NOT NULL").withColumn("less", -F.col("tokens")), ["less", "doc_id", "piece"], "n").drop("less")
+    n = items.where("ids IS NOT NULL").count()
+    stored = written(numbered.repartition(2 * spark.sparkContext.defaultParallelism, "n"), "numbered")
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    found = spark.sparkContext.broadcast(_seeds_of(stored.select("n", "tokens", "ids"), n, capacity, listed, seeds, shard_items, shard_tokens))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seed = found.value[batch.column("n").to_numpy()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seed)], [*batch.schema.names, "seed"])
+
+    rows = map_arrow(stored.select("n", *columns[:-1]), placed, "n bigint, doc_id bigint, piece int, first_token bigint, tokens int, seed bigint")
+    names = stored.select(F.col("n").alias("seed"), F.concat_ws(":", "doc_id", "piece").alias("container"))
+    return rows.join(names, "seed").select(*columns).unionByName(whole.select(*columns))

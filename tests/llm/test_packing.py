@@ -61,3 +61,28 @@ def test_only_empty_documents(spark):
     assert len(rows) == 2 and len({r.container for r in rows}) == 1
     assert containers(spark, ["x"][:0] or [None])[0].tokens == 0
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_neighbours_come_from_all_shards(spark):
+    """Neither shards nor the order of rows change the containers, which are those of one index over all documents."""
+    words = ["cook", "pot", "spoon", "garage", "river", "stirs", "lifts", "quietly", "window", "train"]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(words, int(rng.integers(5, 40)))) for _ in range(120)]
+    texts += [f"{t} again" for t in texts[:20]] + texts[20:40]  # copies, far from the first ones
+    with open(RANK_FILE, "rb") as file:
+        tokenizer = encoding(file.read())
+    ids = [np.array(tokenizer.encode_ordinary(t)) for t in texts]
+    order = sorted(range(len(texts)), key=lambda k: (-len(ids[k]), k))
+    expected = {frozenset(order[k] for k in inside) for inside in P.fill([ids[k] for k in order], 100)}
+
+    def groups(documents, **settings):
+        found = defaultdict(set)
+        for r in P.pack_documents(documents, 100, **settings).collect():
+            found[r.container].add(r.doc_id)
+        return {frozenset(g) for g in found.values()}
+
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert groups(documents.coalesce(1), shard_items=16, listed=200) == expected
+    assert groups(documents.orderBy("text").repartition(5), shard_items=50, seeds=7, listed=200) == expected
+    short = groups(documents.coalesce(1), shard_items=16, listed=2)
+    assert sorted(k for g in short for k in g) == list(range(len(texts))) and len(short) <= len(expected) + 2
