@@ -52,7 +52,7 @@ class Config:
     penalties: tuple[float, ...] = (1.0,)
     experiments: tuple[tuple[str, str], ...] = (("titles", "metadata"), ("graphs", "graph"))
     seeds: tuple[int, ...] = (42, 43, 44)
-    draws: int = 1000
+    draws: int = 10_000
     training: training.Training = field(default_factory=training.Training)
 
     def __post_init__(self):

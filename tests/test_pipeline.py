@@ -110,3 +110,8 @@ def test_command_line(spark, source, tmp_path, monkeypatch):
     assert cli.main(["prepare-input-data", "--config", str(path)]) == 0
     path.write_text(json.dumps(settings | {"titles": "/nowhere"}))
     assert cli.main(["prepare-cohort", "--config", str(path), "--force"]) == 1
+
+
+def test_draws_by_default_reach_the_percentiles_of_28_comparisons():
+    assert Config(root="x", interactions="y").draws == 10_000
+    assert Config(root="x", interactions="y").draws * 0.05 / 28 / 2 > 5  # draws beyond each limit
