@@ -349,6 +349,19 @@ def _exact(ids: np.ndarray, unit: np.ndarray, least: np.ndarray, owner: np.ndarr
     yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(other), pa.array(cosine)], ["id", "other", "cosine"])
 
 
+def _folded(units: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The different vectors (``id, unit``), each with the smallest id of its copies; ``id, rep``: that id for every vector;
+    ``rep, ids``: the first ``k + 1`` copies."""
+    by_id = W.partitionBy("unit").orderBy("id")
+    members = units.groupBy("unit").agg(F.min("id").alias("rep"))
+    single = written(members.select(F.col("rep").alias("id"), "unit"), "single")
+    copies = units.join(members, "unit").select("id", "rep")  # equal units, so a hot group is split like any skewed join
+    copies = written(copies, "copies")
+    leading = units.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).join(members, "unit").select("rep", "id")
+    leading = written(leading.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids")), "leading")  # k + 1 at most
+    return single, copies, leading
+
+
 def most_similar(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "vec", **settings) -> DataFrame:
     """``id, other, cosine, rank``: of every usable vector the ``k`` most similar others, by falling cosine, then id.
 
@@ -357,16 +370,8 @@ def most_similar(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: s
     size costs nothing there, and are put back after it: each copy's own list begins with the other copies. A vector has
     fewer than ``k`` rows only if there are fewer others. The neighbours are approximate, their cosines exact.
     """
-    units = written(unit_vectors(vectors, key, vector), "units")
-    by_id = W.partitionBy("unit").orderBy("id")
-    members = units.groupBy("unit").agg(F.min("id").alias("rep"))
-    single = written(members.select(F.col("rep").alias("id"), "unit"), "single")
+    single, copies, leading = _folded(written(unit_vectors(vectors, key, vector), "units"), k)
     n = single.count()
-    copies = units.join(members, "unit").select("id", "rep")  # equal units, so a hot group is split like any skewed join
-    copies = written(copies, "copies")
-    leading = units.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).join(members, "unit").select("rep", "id")
-    leading = written(leading.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids")), "leading")  # k + 1 at most
-
     graph = neighbour_graph(single, n, **settings)
     few = k + 6
     near = graph.select("id", F.substring("entries", 1, few * _ENTRY.itemsize).alias("entries"), F.lit(True).alias("forth"))
@@ -445,9 +450,18 @@ def search(graph: DataFrame, units: DataFrame, queries: DataFrame, k: int = 10,
 
 
 def graph_search(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "vec", **settings) -> DataFrame:
-    """``search`` with the usable vectors whose id is divisible by ``every`` as queries, against all; a query does not find itself."""
-    units = written(unit_vectors(vectors, key, vector), "units")
-    graph = written(neighbour_graph(units, units.count(), **settings), "graph")
-    found = search(graph, units, units.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "unit"), k + 1)
-    others = found.where("query <> id").withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("rank")))
-    return others.where(F.col("rank") <= k)
+    """``search`` with the usable vectors whose id is divisible by ``every`` as queries, against all; a query does not find itself.
+
+    As in ``most_similar``, exact copies are one vector for the graph and the walk, and are put back after it.
+    """
+    single, copies, leading = _folded(written(unit_vectors(vectors, key, vector), "units"), k)
+    graph = written(neighbour_graph(single, single.count(), **settings), "graph")
+    asked = copies.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "rep")
+    queries = written(asked.select(F.col("rep").alias("id")).distinct().join(single, "id").select(F.col("id").alias("query"), "unit"), "queries")
+    found = search(graph, single, queries, k + 1).where("query <> id").select(F.col("query").alias("rep"), "id", "cosine")
+    found = found.unionByName(queries.select(F.col("query").alias("rep"), F.col("query").alias("id"), F.lit(1.0).alias("cosine")))
+    opened = found.join(leading.withColumnRenamed("rep", "id"), "id").select("rep", "cosine", F.explode("ids").alias("id"))
+    lists = opened.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "id"))), 1, k + 1).alias("l"))
+    kept = F.slice(F.filter("l", lambda x: x.id != F.col("query")), 1, k)
+    each = asked.join(lists, "rep").select("query", F.posexplode(kept).alias("p", "e"))
+    return each.select("query", F.col("e.id").alias("id"), (-F.col("e.c")).alias("cosine"), (F.col("p") + 1).alias("rank"))

@@ -71,3 +71,24 @@ def test_greedy_search(spark):
     assert hits / len(found) >= 0.95
     assert N.graph_search(frame(spark, [])).count() == 0
     assert [(r.query, r.id) for r in N.graph_search(frame(spark, vectors[:2]), every=2).collect()] == [(0, 1)]
+
+
+def test_greedy_search_with_a_third_of_copies(spark):
+    rng = np.random.default_rng(4)
+    hot = rng.standard_normal(64)
+    hot /= np.linalg.norm(hot)
+    others = rng.standard_normal((1000, 64))
+    groups = []
+    for _ in range(10):  # tight groups, moderately similar to the copies
+        aside = rng.standard_normal(64)
+        aside -= aside @ hot * hot
+        centre = 0.5 * hot + math.sqrt(0.75) * aside / np.linalg.norm(aside)
+        groups += [centre + 0.02 * rng.standard_normal(64) for _ in range(20)]
+    vectors = list(enumerate([*groups, *others, *[hot] * 600]))
+    found = N.graph_search(frame(spark, vectors), every=5).toPandas()
+    expected = brute(vectors, 10)
+    own = found[found["query"] < 200]
+    assert (found.groupby("query").size() == 10).all() and set(found["query"]) == set(range(0, 1800, 5))
+    assert sum(len(set(g.id) & set(expected[q])) for q, g in own.groupby("query")) / len(own) >= 0.95
+    copies = found[found["query"] == 1500].sort_values("rank")
+    assert copies.id.tolist() == list(range(1200, 1210)) and np.allclose(copies.cosine, 1)
