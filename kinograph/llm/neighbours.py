@@ -373,9 +373,8 @@ def most_similar(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: s
     single, copies, leading = _folded(written(unit_vectors(vectors, key, vector), "units"), k)
     n = single.count()
     graph = neighbour_graph(single, n, **settings)
-    few = k + 6
-    near = graph.select("id", F.substring("entries", 1, few * _ENTRY.itemsize).alias("entries"), F.lit(True).alias("forth"))
-    needed = graph.select(F.col("id").alias("owner"), F.explode(F.concat(F.slice("others", 1, few), F.array("id"))).alias("id"))
+    near = graph.select("id", "entries", F.lit(True).alias("forth"))  # whole lists: half precision cannot order a dense group
+    needed = graph.select(F.col("id").alias("owner"), F.explode(F.concat("others", F.array("id"))).alias("id"))
     exact = _grouped(
         near, needed, single.select("id", F.col("unit").alias("bytes"), F.lit(0.0).cast("float").alias("least")), max(12, -(-n // GROUP)), _by_group(_exact, 0), "id bigint, other bigint, cosine double"
     )

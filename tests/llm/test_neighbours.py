@@ -92,3 +92,14 @@ def test_greedy_search_with_a_third_of_copies(spark):
     assert sum(len(set(g.id) & set(expected[q])) for q, g in own.groupby("query")) / len(own) >= 0.95
     copies = found[found["query"] == 1500].sort_values("rank")
     assert copies.id.tolist() == list(range(1200, 1210)) and np.allclose(copies.cosine, 1)
+
+
+def test_dense_group_of_near_copies(spark):
+    """Cosines that half precision cannot tell apart, at norms that round differently."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    group = [(centre + 3e-3 * rng.standard_normal(64)) * 1.1**k for k in range(35)]
+    vectors = [(k, v.astype(np.float32)) for k, v in enumerate([*group, *rng.standard_normal((100, 64))])]
+    found = N.most_similar(frame(spark, vectors), 10).toPandas()
+    expected = brute(vectors, 10)
+    assert sum(len(set(g.other) & set(expected[i])) for i, g in found.groupby("id") if i < 35) >= 345
