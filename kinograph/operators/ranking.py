@@ -13,7 +13,7 @@ from kinograph.session import map_arrow
 
 #: Items of the catalog that are held in memory at once; a larger catalog is gone through in blocks.
 CATALOG_BLOCK = 100_000
-CUTOFFS = (4, 8, 10, 20)
+CUTOFFS = (4, 8, 10, 20, 30)
 
 
 def metrics(rank: Column, cutoffs: tuple[int, ...] = CUTOFFS) -> list[Column]:

@@ -173,3 +173,9 @@ def test_encoding_of_distinct_texts(spark):
     assert set(found) == {"a", "b", ""} and found[""] == [0.0] * 8 and math.isclose(np.linalg.norm(found["a"]), 1, rel_tol=1e-6)
     mapped = N.apply_tower(spark.createDataFrame([(1, [1.0, 2.0])], "k long, v array<float>"), "v", lambda x: 2 * x, ["k"])
     assert tuple(mapped.first()) == (1, [2.0, 4.0])
+
+
+def test_metrics_reach_the_cutoff_of_30(spark):
+    found = spark.createDataFrame([(1,), (30,), (31,)], "rank int").select(*R.metrics(F.col("rank"))).collect()
+    assert [r["HR@30"] for r in found] == [1.0, 1.0, 0.0] and [r["HR@20"] for r in found] == [1.0, 0.0, 0.0]
+    assert math.isclose(found[1]["NDCG@30"], 1 / math.log2(31)) and found[2]["NDCG@30"] == 0.0
