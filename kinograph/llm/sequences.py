@@ -152,6 +152,15 @@ def _extended(suffixes: DataFrame, extensions: DataFrame) -> DataFrame:
     return opened.select(F.concat_ws(">", "prefix", F.col("item").cast("string")).alias("prefix"), rest.alias("suffix")).where(F.size("suffix") > 0)
 
 
+def _large(suffixes: DataFrame, maybe: DataFrame, most_items: int) -> DataFrame:
+    """Those of the prefixes ``maybe`` whose suffixes hold more than ``most_items`` items."""
+    maybe = written(maybe, "maybe")
+    if maybe.isEmpty():
+        return maybe
+    held = suffixes.join(maybe, "prefix", "left_semi").groupBy("prefix").agg(F.sum(F.size("suffix")).alias("items"))
+    return held.where(F.col("items") > most_items).select("prefix")
+
+
 def _long_suffixes(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """Suffixes of the long histories in ``rows``, made by joins and holding only the candidates of each prefix."""
     place = F.struct("ts", "event_id")
@@ -173,11 +182,12 @@ def frequent_sequences(
 
     Each history gives, for each of its items, the rows after the item's first occurrence; shuffled by that item, they
     hold all that decides the patterns beginning with it. There the items that follow often enough are counted, and longer
-    patterns are found by direct comparison of the sequences' minimum patterns. Prefixes whose suffixes may hold more than
+    patterns are found by direct comparison of the sequences' minimum patterns. Prefixes whose suffixes hold more than
     ``prefix_items`` items are extended by further items in Spark until they are smaller, so no task grows with the input.
 
     Histories longer than ``history`` are set apart, fewer than ``min_users`` of them (the limit rises to the length of the
-    ``min_users``-th longest). They are never gathered; a pattern's first two items must then follow each other in at least
+    ``min_users``-th longest). They are never gathered whole, but a long user's rows of the candidates of a first item are, into
+    one array for each such item; a pattern's first two items must then follow each other in at least
     ``min_users`` minus that number of the others, and only those items are joined from the long ones. Nothing is lost.
     """
     rows = written(usable_rows(events), "usable")
@@ -201,7 +211,8 @@ def frequent_sequences(
 
     patterns = []
     small, most_rows = suffixes, max(1, prefix_items // limit)
-    large = written(kept.where(F.col("n") > most_rows).select(F.col("item").cast("string").alias("prefix")), "large")
+    maybe = kept if n_long else kept.where(F.col("n") > most_rows)  # the long histories are not bounded by ``limit``
+    large = written(_large(suffixes, maybe.select(F.col("item").cast("string").alias("prefix")), prefix_items), "large")
     while not large.isEmpty():
         bounded = large.count() <= 100_000
         large = F.broadcast(large) if bounded else large
@@ -211,7 +222,8 @@ def frequent_sequences(
         name = F.concat_ws(">", "prefix", F.col("item").cast("string"))
         patterns.append(extensions.select(name.alias("pattern"), "users"))
         suffixes = _extended(wide, extensions)
-        large = written(extensions.where(F.col("users") > most_rows).select(name.alias("prefix")), "large")
+        maybe = extensions if n_long else extensions.where(F.col("users") > most_rows)
+        large = written(_large(suffixes, maybe.select(name.alias("prefix")), prefix_items), "large")
         small = small.unionByName(suffixes)
     grouped = small.repartition("prefix").sortWithinPartitions("prefix")
     patterns.append(map_arrow(grouped, _mining(min_users, BLOCK_ITEMS), "pattern string, users bigint"))

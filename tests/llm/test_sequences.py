@@ -83,3 +83,20 @@ def test_small_blocks_and_dirty_rows(spark, rows, monkeypatch):
     expected = {p: n for p, n in brute(histories(data, 0.9), 8).items() if len(p) > 1}
     assert dict(rows(S.frequent_sequences(log(spark, data + dirty), 8, 0.9))) == {">".join(map(str, p)): n for p, n in expected.items()}
     assert S.frequent_sequences(log(spark, []), 2).count() == 0
+
+
+def test_long_histories_elsewhere_do_not_make_a_prefix_large(spark, rows, monkeypatch):
+    data, n = [], 0
+    for user in range(101):
+        for place, item in enumerate([1, 2, 3] if user < 88 else []):
+            data.append((n := n + 1, str(user + 1), str(item), place + 1))
+        if user >= 88:
+            for k in range(60):  # in another order for each user
+                data.append((n := n + 1, str(user + 1), str(200 + (k * (user - 87)) % 61), 10 + k))
+    events = log(spark, data)
+    expected = rows(S.frequent_sequences(events, 12, 0.5, 10, 10**9).where("pattern LIKE '1>%'"))
+    assert ("1>2>3", 88) in expected
+    extended = []
+    monkeypatch.setattr(S, "_extended", lambda *a, f=S._extended: extended.append(1) or f(*a))
+    assert rows(S.frequent_sequences(events, 12, 1.0, 10, 5000).where("pattern LIKE '1>%'")) == expected
+    assert not extended
