@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.cooccurrence import with_items
+from kinograph.llm.cooccurrence import with_items, with_users
+from kinograph.llm.tiles import chunks, numbered_items, pair_counts, pairs_of_baskets, with_numbers
+from kinograph.operators.indexing import dense_index
 from kinograph.operators.interactions import usable_rows
-from kinograph.session import map_arrow, written
+from kinograph.session import BROADCAST_ROWS, map_arrow, written
 
-#: Histories of at most this many rows are cut into suffixes within one row; longer ones take the way of ``_long_suffixes``.
+#: Histories of at most this many rows are cut into suffixes within one row; longer ones, however many, are worked on by tiles.
 HISTORY = 1000
 #: Items that the suffixes of one prefix may hold to be mined in one task; larger prefixes are first extended in Spark.
 PREFIX_ITEMS = 20_000_000
@@ -161,14 +163,27 @@ def _large(suffixes: DataFrame, maybe: DataFrame, most_items: int) -> DataFrame:
     return held.where(F.col("items") > most_items).select("prefix")
 
 
-def _long_suffixes(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Suffixes of the long histories in ``rows``, made by joins and holding only the candidates of each prefix."""
-    place = F.struct("ts", "event_id")
-    first = rows.groupBy("user", F.col("item").alias("first_item")).agg(F.min(place).alias("begin"))
-    wanted = candidates.select(F.col("prefix").cast("bigint").alias("first_item"), "item")
-    after = first.join(wanted, "first_item").join(rows.select("user", "item", place.alias("place")), ["user", "item"]).where("place > begin")
-    grouped = after.groupBy("user", "first_item").agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("s"))
-    return grouped.select(F.col("first_item").cast("string").alias("prefix"), F.col("s.item").alias("suffix"))
+def _long_suffixes(rows: DataFrame, suffixes: DataFrame, kept: DataFrame, min_users: int, n_long: int) -> DataFrame:
+    """Suffixes of the long histories in ``rows`` (``user, item, ts, event_id``), holding only the items that follow their prefix in
+    ``min_users`` histories or more; ``suffixes``: those of all other histories.
+
+    Pairs of items that follow each other are counted by tiles, together with those of the other histories. Only for the
+    frequent ones, which are patterns of the result, the long histories' rows are joined to their prefixes.
+    """
+    index = numbered_items(kept)
+    placed = written(dense_index(rows.join(F.broadcast(index) if index.count() <= BROADCAST_ROWS else index, "item").select("user", "at", "ts", "event_id"), ["user", "ts", "event_id", "at"], "place"), "placed")
+    ends = written(placed.groupBy("user", "at").agg(F.min("place").alias("first"), F.max("place").alias("last")), "ends")
+    cut = written(chunks(ends, True), "chunks")
+    number = index.select(F.col("item"), F.col("at").alias("number"))
+    number = F.broadcast(number) if index.count() <= BROADCAST_ROWS else number
+    others = _extensions(suffixes, 1).join(number.withColumnRenamed("number", "b"), "item").drop("item")
+    others = others.withColumn("item", F.col("prefix").cast("bigint")).join(number.withColumnRenamed("number", "a"), "item").select("a", "b", "users")
+    frequent = written(pair_counts(cut, others, min_users, n_long, ordered=True), "frequent")
+    held = pairs_of_baskets(cut, frequent, n_long).join(ends.select("user", F.col("at").alias("a"), "first"), ["user", "a"])
+    after = held.join(placed.select("user", F.col("at").alias("b"), "place"), ["user", "b"]).where("place > first")
+    named = with_numbers(with_numbers(after, index, "b", "item"), index, "a", "prefix")
+    grouped = named.groupBy("user", "prefix").agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("s"))
+    return grouped.select(F.col("prefix").cast("string").alias("prefix"), F.col("s.item").alias("suffix"))
 
 
 def frequent_sequences(
@@ -185,10 +200,9 @@ def frequent_sequences(
     patterns are found by direct comparison of the sequences' minimum patterns. Prefixes whose suffixes hold more than
     ``prefix_items`` items are extended by further items in Spark until they are smaller, so no task grows with the input.
 
-    Histories longer than ``history`` are set apart, fewer than ``min_users`` of them (the limit rises to the length of the
-    ``min_users``-th longest). They are never gathered whole, but a long user's rows of the candidates of a first item are, into
-    one array for each such item; a pattern's first two items must then follow each other in at least
-    ``min_users`` minus that number of the others, and only those items are joined from the long ones. Nothing is lost.
+    Histories longer than ``history``, any number of them, are never gathered whole. Which items follow each other in them is
+    counted by tiles together with all other histories, and of each only the rows that follow a prefix in a frequent pair go
+    on, one list for each such prefix, whose length is what the results need. Nothing is lost.
     """
     rows = written(usable_rows(events), "usable")
     counts = written(rows.groupBy("item").agg(F.count("*").alias("n")), "counts")
@@ -196,22 +210,20 @@ def frequent_sequences(
     kept = counts.where((F.col("n") >= min_users) & (F.col("n") <= n_rows * max_share))
     light = with_items(rows, kept, n_rows)
 
-    users = light.groupBy("user").agg(F.count("*").alias("size"))
-    longest = [r[0] for r in users.orderBy(F.desc("size")).limit(min_users).select("size").collect()]
-    limit = max([history, *longest[min_users - 1 :]])
-    n_long = sum(x > limit for x in longest)
+    long_users = written(light.groupBy("user").agg(F.count("*").alias("size")).where(F.col("size") > history).select("user"), "long")
+    n_long = long_users.count()
     if n_long:
-        long_users = F.broadcast(written(users.where(F.col("size") > limit).select("user"), "long"))  # fewer than min_users
-        long_rows, light = light.join(long_users, "user", "left_semi"), light.join(long_users, "user", "left_anti")
+        light = written(light, "light")
+        long_rows, light = with_users(light, long_users, True), with_users(light, long_users, False)
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "item")))
     suffixes = _suffixes(light.groupBy("user").agg(ordered.getField("item").alias("items")))
     if n_long:
-        candidates = written(_extensions(suffixes, max(1, min_users - n_long)), "candidates")
-        suffixes = suffixes.unionByName(_long_suffixes(long_rows, candidates))
+        suffixes = written(suffixes, "suffixes")
+        suffixes = suffixes.unionByName(_long_suffixes(long_rows, suffixes, kept, min_users, n_long))
 
     patterns = []
-    small, most_rows = suffixes, max(1, prefix_items // limit)
-    maybe = kept if n_long else kept.where(F.col("n") > most_rows)  # the long histories are not bounded by ``limit``
+    small, most_rows = suffixes, max(1, prefix_items // history)
+    maybe = kept if n_long else kept.where(F.col("n") > most_rows)  # the long histories are not bounded by ``history``
     large = written(_large(suffixes, maybe.select(F.col("item").cast("string").alias("prefix")), prefix_items), "large")
     while not large.isEmpty():
         bounded = large.count() <= 100_000

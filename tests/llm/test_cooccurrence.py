@@ -54,3 +54,14 @@ def test_exact_limits_and_empty_log(spark):
     assert [(r.item_a, r.item_b, r.lift) for r in C.item_pairs(log(spark, data), 12, 2).collect()] == [(1, 2, 2.0)]
     assert C.item_pairs(log(spark, data), 13, 0).count() == 0
     assert C.item_pairs(log(spark, []), 12, 2).count() == 0
+
+
+def test_long_baskets_of_many_users(spark, monkeypatch):
+    """Every user's basket is long, and there are several tiles and parts of tiles."""
+    monkeypatch.setattr(C.tiles, "TILE", 8)
+    data = make()
+    expected = brute(data, 5, 0)
+    for baskets in (100_000, 20):
+        monkeypatch.setattr(C.tiles, "TILE_BASKETS", baskets)
+        found = C.item_pairs(log(spark, data), 5, 0, 1).collect()
+        assert {(r.item_a, r.item_b): (r.users, r.users_a, r.users_b) for r in found} == expected

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kinograph.llm import sequences as S
+from kinograph.llm import tiles as T
 
 SCHEMA = "event_id long, user_id string, item_id string, timestamp long, item string, prefix string"
 
@@ -100,3 +101,14 @@ def test_long_histories_elsewhere_do_not_make_a_prefix_large(spark, rows, monkey
     monkeypatch.setattr(S, "_extended", lambda *a, f=S._extended: extended.append(1) or f(*a))
     assert rows(S.frequent_sequences(events, 12, 1.0, 10, 5000).where("pattern LIKE '1>%'")) == expected
     assert not extended
+
+
+def test_long_histories_of_many_users(spark, rows, monkeypatch):
+    """Every history is long; there are several tiles and parts of tiles."""
+    monkeypatch.setattr(T, "TILE", 8)
+    data = make(5)
+    expected = {p: n for p, n in brute(histories(data, 0.5), 6).items() if len(p) > 1}
+    for baskets in (100_000, 10):
+        monkeypatch.setattr(T, "TILE_BASKETS", baskets)
+        found = S.frequent_sequences(log(spark, data), 6, 0.5, history=1)
+        assert dict(rows(found)) == {">".join(map(str, p)): n for p, n in expected.items()} and len(expected) > 20
