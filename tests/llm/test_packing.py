@@ -34,7 +34,7 @@ def containers(spark, texts, **settings):
     return P.pack_documents(documents, **settings).collect()
 
 
-@pytest.mark.parametrize("settings", [{}, {"capacity": 64, "shard_items": 40}, {"capacity": 16, "shard_tokens": 300}])
+@pytest.mark.parametrize("settings", [{}, {"capacity": 64, "shard_items": 40}, {"capacity": 16, "shard_items": 16}])
 def test_every_token_once_and_no_container_too_full(spark, settings):
     words = ["cook", "pot", "spoon", "garage", "river", "stirs", "lifts", "quietly"]
     rng = np.random.default_rng(4)
@@ -53,7 +53,7 @@ def test_every_token_once_and_no_container_too_full(spark, settings):
         assert [p for p, _, _ in parts] == list(range(len(parts))) and sum(t for _, _, t in parts) == sizes[doc]
         assert [f for _, f, _ in parts] == [capacity * k for k in range(len(parts))] and all(t == capacity for _, _, t in parts[:-1])
         assert len(parts) == max(1, -(-sizes[doc] // capacity))
-    assert len(filled) <= sum(sizes) / capacity * 1.1 + 2 + len(texts) // settings.get("shard_items", 10**9) + (0 if "shard_tokens" not in settings else 30)
+    assert len(filled) <= sum(sizes) / capacity * 1.1 + 2
 
 
 def test_only_empty_documents(spark):
@@ -63,26 +63,34 @@ def test_only_empty_documents(spark):
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_neighbours_come_from_all_shards(spark):
-    """Neither shards nor the order of rows change the containers, which are those of one index over all documents."""
-    words = ["cook", "pot", "spoon", "garage", "river", "stirs", "lifts", "quietly", "window", "train"]
+def test_input_order_does_not_matter_and_neighbours_meet(spark):
+    """Containers depend on neither splits nor shards of the input; copies and similar texts, however far apart, share one."""
+    topics = [[f"{stem}{k}" for k in range(12)] for stem in ("cook", "river", "engine", "violin", "harbour", "library")]
     rng = np.random.default_rng(5)
-    texts = [" ".join(rng.choice(words, int(rng.integers(5, 40)))) for _ in range(120)]
-    texts += [f"{t} again" for t in texts[:20]] + texts[20:40]  # copies, far from the first ones
-    with open(RANK_FILE, "rb") as file:
-        tokenizer = encoding(file.read())
-    ids = [np.array(tokenizer.encode_ordinary(t)) for t in texts]
-    order = sorted(range(len(texts)), key=lambda k: (-len(ids[k]), k))
-    expected = {frozenset(order[k] for k in inside) for inside in P.fill([ids[k] for k in order], 100)}
-
-    def groups(documents, **settings):
-        found = defaultdict(set)
-        for r in P.pack_documents(documents, 100, **settings).collect():
-            found[r.container].add(r.doc_id)
-        return {frozenset(g) for g in found.values()}
-
+    texts = [" ".join(rng.choice(topics[k % 6], int(rng.integers(8, 20)))) for k in range(480)]
+    texts[400:440] = texts[:40]
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert groups(documents.coalesce(1), shard_items=16, listed=200) == expected
-    assert groups(documents.orderBy("text").repartition(5), shard_items=50, seeds=7, listed=200) == expected
-    short = groups(documents.coalesce(1), shard_items=16, listed=2)
-    assert sorted(k for g in short for k in g) == list(range(len(texts))) and len(short) <= len(expected) + 2
+
+    def found(frame):
+        return {r.doc_id: r.container for r in P.pack_documents(frame, 150, shard_items=64).collect()}
+
+    one = found(documents.coalesce(1))
+    assert one == found(documents.orderBy("text").repartition(5)) and len(one) == len(texts)
+    mates = defaultdict(list)
+    for doc, container in one.items():
+        mates[container].append(doc % 6 if not 400 <= doc < 440 else (doc - 400) % 6)
+    same = sum(x == y for m in mates.values() for x in m for y in m) - len(texts)
+    assert same > 0.6 * sum(len(m) * (len(m) - 1) for m in mates.values())
+
+
+def test_order_of_content():
+    rng = np.random.default_rng(2)
+    items = [np.concatenate([rng.integers(k % 5 * 50, k % 5 * 50 + 50, 30), [7]]) for k in range(400)] + [np.empty(0, np.int64)] * 3
+    corpus = P.Corpus.of(items)
+    points = P.projected(items, corpus)
+    order = P.ContentOrder(points, 40)
+    places = order.places(points)
+    assert (places[:-3] >> P.SIGNS).max() < order.leaves and len(set(places[-3:])) == 1
+    kinds = np.array([k % 5 for k in range(400)])[np.argsort(places[:400], kind="stable")]
+    assert (kinds[1:] == kinds[:-1]).mean() > 0.9
+    assert (P.ContentOrder(points[:0]).places(points) >= 0).all() and (P.ContentOrder(np.repeat(points[:1], 500, 0)).places(points) >= 0).all()
