@@ -15,7 +15,8 @@ from kinograph.operators import vectors as V
 from kinograph.operators.indexing import dense_index, first_seen_ids
 from kinograph.operators.segments import hash_number
 from kinograph.plans.cohorts import RETAINED, retained, stored_retained
-from kinograph.plans.media import latest_scenes
+from kinograph.plans.graphs import BUNDLE, GRAPHS
+from kinograph.plans.media import STORED, latest_scenes
 from kinograph.plans.problems import table
 
 DIMENSIONS, BATCH, DRAWS, SEEDS = 64, 128, 100, (42, 43, 44)
@@ -150,12 +151,12 @@ def vocabulary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     graphs = latest_scenes(spark, sf_dir).where("representation = 'graph' AND error IS NULL AND raw_output IS NOT NULL")
     uncut = graphs.where(~F.coalesce(F.col("finish_reason").rlike(r"(?i)length|max_?tokens"), F.lit(False)))
-    return uncut.select("content_id", "scene_idx", "output_id").join(graphtext.parse_graphs(uncut, "output_id"), "output_id")
+    return graphtext.with_graphs(uncut.select("content_id", "scene_idx", "output_id", "raw_output"), F.col("raw_output")).drop("raw_output")
 
 
 def graph_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = (F.size("graph.entities").alias("entities"), F.size("graph.actions").alias("actions"))
-    return parsed_graphs(spark, sf_dir).select("output_id", "mode", "parse_error", *counts)
+    return parsed_graphs(spark, sf_dir).select("output_id", "mode", F.col("parse_error").isNotNull().alias("failed"), *counts)
 
 
 def native_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,6 +302,11 @@ steps AS (SELECT content_id, scene_idx, names, k - 1 AS k, string_split(acts[k],
 bodies AS (SELECT *, string_split(p[1], ' - ') AS b FROM steps),
 roles AS (SELECT content_id, scene_idx, names, k, unnest([b[1], b[3], coalesce(p[2], 'none'), 'none', coalesce(p[3], 'unknown')]) AS value, unnest([0, 1, 2, 3, 4]) AS role FROM bodies)"""
 
+#: The uncut graphs of the latest scenes.
+_CHOSEN = rf"""WITH {GRAPHS}, {STORED}, chosen AS (SELECT output_id, content_id, scene_idx FROM latest WHERE representation = 'graph' AND error IS NULL
+    AND raw_output IS NOT NULL AND NOT coalesce(regexp_matches(finish_reason, '(?i)length|max_?tokens'), false))"""
+_BUNDLE = f"{_CHOSEN}, {BUNDLE}"
+
 ORACLE = {
     "catalog_rank": f"WITH {RANKS} SELECT * FROM ranks",
     "hr_ndcg": f"""WITH {RANKS} SELECT count(*) AS events, {", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 9) AS HR_{k}, round(avg(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1) ELSE 0.0 END), 9) AS NDCG_{k}" for k in R.CUTOFFS)} FROM ranks""",
@@ -334,6 +340,20 @@ ORACLE = {
         SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS events FROM s GROUP BY user_id, n""",
     "vocabulary_ids": r"""WITH t AS (SELECT coalesce(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '') AS text, min(doc_id) AS p FROM (SELECT doc_id, text FROM documents UNION ALL SELECT NULL, '') GROUP BY 1)
         SELECT md5(text) AS text_md5, CASE WHEN text = '' THEN 0 ELSE row_number() OVER (ORDER BY text = '', p, text) END AS text_id FROM t""",
+    "graph_text_parse": rf"""{_CHOSEN}, n AS (SELECT output_id, CAST(count(*) AS INTEGER) AS n FROM ents GROUP BY 1)
+        SELECT output_id, CASE WHEN native THEN 'native' WHEN ok THEN 'repaired' END AS mode, NOT ok AS failed, CASE WHEN ok THEN coalesce(n, 0) END AS entities,
+            CASE WHEN ok THEN CAST(len(cells_a) AS INTEGER) END AS actions FROM chosen JOIN graphs USING (output_id) LEFT JOIN n USING (output_id)""",
+    "graph_nodes": f"{_BUNDLE} SELECT content_id, scene_idx, node, kind, key, text FROM nodes",
+    "graph_role_states": f"{_BUNDLE} SELECT content_id, scene_idx, action_node, role, state, entity_node FROM states",
+    "graph_edges": f"""{_BUNDLE} SELECT content_id, scene_idx, entity_node AS src, action_node AS dst, role FROM states WHERE state = -1
+        UNION ALL SELECT content_id, scene_idx, action_node, entity_node, role + 5 FROM states WHERE state = -1""",
+    "graph_contexts": f"{_BUNDLE} SELECT content_id, scene_idx, text FROM contexts",
+    "graph_vocabulary": f"""{_BUNDLE}, t AS (SELECT trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, min((content_id, scene_idx, node)) AS place
+            FROM (SELECT content_id, scene_idx, node, text FROM nodes UNION ALL SELECT content_id, scene_idx, 2147483647, text FROM contexts) GROUP BY 1)
+        SELECT text, row_number() OVER (ORDER BY place, text) AS text_id FROM t WHERE text <> '' UNION ALL SELECT '', 0""",
+    "graph_statistics": f"""{_BUNDLE}, s AS (SELECT content_id, output_id, len(cells_a) AS actions FROM chosen JOIN graphs USING (output_id) WHERE ok)
+        SELECT content_id, count(*) AS scenes, count(*) FILTER (actions = 0) AS actionless, CAST(sum((SELECT count(*) FROM ents e WHERE e.output_id = s.output_id)) AS BIGINT) AS entities,
+            CAST(sum(actions) AS BIGINT) AS actions FROM s GROUP BY 1""",
     "native_graphs": rf"""WITH {NATIVE} SELECT output_id, len(es) AS entities, len(acts) AS actions, medium, CASE WHEN topics = 'none' THEN '' ELSE topics END AS topics FROM refs WHERE coalesce(declared, true)""",
     "native_contexts": rf"""WITH {NATIVE} SELECT content_id, scene_idx, 'Format: ' || format || chr(10) || 'Medium: ' || medium || chr(10) || 'Topics: ' ||
         CASE WHEN topics = 'none' THEN '' ELSE array_to_string(list_sort(string_split(topics, '; ')), ', ') END AS text FROM native""",

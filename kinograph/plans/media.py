@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinograph.functions import activity, sampling
+from kinograph.functions import activity, graphtext, sampling
 from kinograph.operators import outcomes as O
 from kinograph.operators import requests as Q
 from kinograph.operators import segments as S
+from kinograph.plans.graphs import GRAPHS
 from kinograph.plans.problems import table
-
-#: A whole action line; its phrase stands between the first two dashes.
-ACTION_LINE = r"(?m)^[^;\n]+? - ([^;\n]+?) - [^;\n]+; [^;\n]+; [^;\n]+$"
+from kinograph.session import written
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,14 +55,12 @@ def latest_scene_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_scenes(spark, sf_dir).select("content_id", "scene_idx", "representation", "output_id", "arm")
 
 
-def _structured(text: Column) -> Column:
-    """The three sections of a graph in their order, each with a line."""
-    return text.rlike(r"(?s)^\s*(?:```[^\n]*\n)?\[Context\]\n.+\n\[Entities\]\n.+\n\[Actions\]\n.+")
-
-
 def tagged(rows: DataFrame) -> DataFrame:
-    text = F.col("raw_output")
-    parsed = F.when(F.col("representation") == "graph", _structured(text)).otherwise(text.rlike(r"\S"))
+    """``rows`` with ``error, tags, structured`` and the ``graph`` of those that hold one; texts that were cut are not read."""
+    text, is_graph = F.col("raw_output"), F.col("representation") == "graph"
+    cut = F.coalesce(F.col("finish_reason").rlike(O.LIMIT_REASON), F.lit(False))
+    rows = graphtext.with_graphs(rows, F.when(is_graph & ~cut, text)).drop("mode", "parse_error")
+    parsed = F.when(is_graph, F.col("graph").isNotNull()).otherwise(text.rlike(r"\S"))
     failed = F.when(F.col("error").isNotNull(), F.col("error")).when(~F.coalesce(text, F.lit("")).rlike(r"\S"), "empty output")
     tags = O.response_tags(F.col("finish_reason"), text, F.col("warning"), parsed)
     return rows.withColumns({"error": failed, "tags": tags, "structured": parsed})
@@ -110,8 +107,7 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def action_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = O.admission(tagged(latest_scenes(spark, sf_dir).where("representation = 'graph'"))).where("rejection IS NULL")
-    phrases = F.regexp_extract_all("raw_output", F.lit(ACTION_LINE), 1)
-    return rows.select("content_id", "scene_idx", phrases.alias("phrases"))
+    return rows.select("content_id", "scene_idx", F.col("graph.actions.action").alias("phrases"))
 
 
 def scene_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +157,7 @@ def random_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_overlap_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scenes = scene_activities(spark, sf_dir)
+    scenes = written(scene_activities(spark, sf_dir), "activities")
     found = S.overlap(S.action_bags(scenes), S.segments(S.activity_segments(scenes)))
     return found.withColumn("jaccard", F.round("jaccard", 12))
 
@@ -188,12 +184,12 @@ latest AS (SELECT * FROM ranked WHERE r = 1)"""
 
 
 def _tagged(source: str) -> str:
-    return rf"""
+    return rf"""{GRAPHS},
 judged AS (SELECT *, coalesce(error, CASE WHEN raw_output IS NULL OR NOT regexp_matches(raw_output, '\S') THEN 'empty output' END) AS failure,
     CASE WHEN raw_output IS NULL THEN NULL WHEN regexp_matches(coalesce(finish_reason, ''), '(?i)length|max_?tokens') THEN 'token_limit'
-         WHEN NOT CASE WHEN representation = 'graph' THEN regexp_matches(raw_output, '(?s)^\s*(?:```[^\n]*\n)?\[Context\]\n.+\n\[Entities\]\n.+\n\[Actions\]\n.+')
+         WHEN NOT CASE WHEN representation = 'graph' THEN coalesce(readable, false)
                        ELSE regexp_matches(raw_output, '\S') END THEN 'parse_failed'
-         WHEN list_contains(warning, 'REPEAT_OCCURRED') THEN 'repeat_occurred' END AS tag FROM {source}),
+         WHEN list_contains(warning, 'REPEAT_OCCURRED') THEN 'repeat_occurred' END AS tag FROM {source} LEFT JOIN (SELECT output_id, ok AS readable FROM graphs) USING (output_id)),
 tagged AS (SELECT *, CASE WHEN failure IS NOT NULL THEN 'error' ELSE coalesce(tag, 'success') END AS outcome,
     failure IS NOT NULL OR coalesce(tag IN ('token_limit', 'parse_failed'), false) AS again,
     CASE WHEN failure IS NOT NULL THEN 'error' WHEN tag IN ('token_limit', 'parse_failed') THEN tag END AS rejection FROM judged)"""
@@ -202,7 +198,7 @@ tagged AS (SELECT *, CASE WHEN failure IS NOT NULL THEN 'error' ELSE coalesce(ta
 #: Steps of a verb to its key; each works on the result of the one before.
 _IRREGULAR = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in activity.IRREGULAR.items()) + " ELSE {0} END"
 PHRASES = rf"""{STORED}, {_tagged("latest")},
-scenes AS (SELECT content_id, scene_idx, regexp_extract_all(raw_output, '{ACTION_LINE}', 1) AS phrases FROM tagged WHERE representation = 'graph' AND rejection IS NULL),
+scenes AS (SELECT content_id, scene_idx, [x[2] FOR x IN arms_a] AS phrases FROM tagged JOIN judged_graphs USING (output_id) WHERE representation = 'graph' AND rejection IS NULL),
 texts AS (SELECT DISTINCT unnest(phrases) AS phrase FROM scenes),
 verbs AS (SELECT phrase, [t FOR t IN regexp_extract_all(lower(phrase), '[a-z]+\d*') IF NOT regexp_full_match(t, '[a-z]\d+') AND t NOT IN {activity.SKIPPED}][1] AS v FROM texts),
 mapped AS (SELECT phrase, v, {_IRREGULAR.format("v")} AS a FROM verbs),
