@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinograph.operators.indexing import dense_index
 from kinograph.operators.interactions import coded_rows
+from kinograph.session import written
 
 MIN_EVENTS, RETAINED, HISTORY = 5, 13, 10
 
@@ -78,7 +79,7 @@ def history_inputs(retained: DataFrame, index: DataFrame, length: int = HISTORY)
 
 def popularity(split: DataFrame) -> DataFrame:
     """``item, n, q, log_q`` over the training rows that have a history."""
-    counts = split.where("phase = 'train' AND position > 0").groupBy("item").agg(F.count("*").alias("n"))
+    counts = written(split.where("phase = 'train' AND position > 0").groupBy("item").agg(F.count("*").alias("n")), "popularity")  # two uses
     total = float(counts.agg(F.sum("n")).first()[0] or 0)
     q = F.col("n") / F.lit(total)
     return counts.select("item", "n", q.alias("q"), F.ln(q).alias("log_q"))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinograph.operators.segments import hash_number
+from kinograph.session import map_arrow
 
 
 def seed_summary(metrics: DataFrame, metric: str) -> DataFrame:
@@ -30,32 +34,53 @@ def user_means(metrics: DataFrame, metric: str) -> DataFrame:
     return metrics.groupBy("user", "arm").agg(F.avg(metric).alias("value"))
 
 
-def poisson_weight(uniform: Column) -> Column:
-    """A Poisson number of mean 1 from a uniform number below 1: how often a row is drawn in one resample."""
-    limits, total = [], 0.0
-    for k in range(9):
-        total += math.exp(-1) / math.factorial(k)
-        limits.append(total)
-    weight = F.lit(len(limits))
-    for k, limit in reversed(list(enumerate(limits))):
-        weight = F.when(uniform < limit, F.lit(k)).otherwise(weight)
-    return weight
+#: Below which of these numbers of 2**32 a hash must be for the weights 0, 1, ...: a Poisson distribution of mean 1.
+POISSON = tuple(int(2**32 * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(9))
+#: Multiplier of the hash of user and draw (a usual mixer of 32 bits), and what a draw is multiplied with.
+MIXER, STRIDE = 0x45D9F3B, 0x9E3779B9
+#: Users whose weights are in memory at once.
+HELD_USERS = 256
+
+
+def weights(users: np.ndarray, draws: int) -> np.ndarray:
+    """How often each user, given by 32 hash bits, is drawn in each resample: users x draws."""
+    x = (users.astype(np.uint64)[:, None] + np.arange(draws, dtype=np.uint64)[None, :] * np.uint64(STRIDE)) & np.uint64(0xFFFFFFFF)
+    for _ in range(2):
+        x ^= x >> np.uint64(16)
+        x *= np.uint64(MIXER)
+        x &= np.uint64(0xFFFFFFFF)
+    x ^= x >> np.uint64(16)
+    return np.searchsorted(np.array(POISSON, np.uint64), x, side="right")
 
 
 def bootstrap(values: DataFrame, draws: int, seed: int = 42) -> DataFrame:
     """``draw, arm, mean``: weighted means of ``values`` (``user, arm, value``) in each resample of the users.
 
-    A user's weight in a draw comes from a digest of seed, draw and user, so all arms share it and it does not depend on
-    where the user is processed. Draws are opened in the rows and summed before the shuffle, so what is shuffled is draws
-    times arms for each task.
+    A user's weight in a draw comes from a hash of seed, user and draw, so all arms share it and it does not depend on where
+    the user is processed. The users of a task are multiplied with their weights as matrices, so what is shuffled is draws
+    times arms for each task, whatever the number of users.
     """
-    uniform = hash_number(F.lit(seed), "draw", "user") / F.lit(float(2**32))
     users = values.groupBy("user").agg(F.collect_list(F.struct("arm", "value")).alias("arms"))  # as many as arms
-    opened = users.select("user", "arms", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    drawn = opened.withColumn("w", poisson_weight(uniform)).where(F.col("w") > 0)
-    weighted = drawn.select("draw", "w", F.inline("arms"))
-    sums = weighted.groupBy("draw", "arm").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("n"))
-    return sums.select("draw", "arm", F.try_divide("s", F.col("n").cast("double")).alias("mean"))
+    hashed = users.select(hash_number(F.lit(seed), "user").alias("hash"), "arms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for begin in range(0, batch.num_rows, HELD_USERS):
+                part = batch.slice(begin, HELD_USERS)
+                drawn = weights(part.column("hash").to_numpy(), draws).astype(np.float64)
+                lists = part.column("arms")
+                user = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                arms, value = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("arm", "value"))
+                for arm in set(arms.tolist()):
+                    chosen = np.flatnonzero((arms == arm) & ~np.isnan(value))
+                    rows = np.stack([value[chosen], np.ones(len(chosen))]) @ drawn[user[chosen]]
+                    sums[arm] = sums[arm] + rows if arm in sums else rows
+        for arm, (total, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), pa.array([arm] * draws, pa.string()), pa.array(total), pa.array(n)], ["draw", "arm", "s", "n"])
+
+    parts = map_arrow(hashed, run, "draw int, arm string, s double, n double")
+    return parts.groupBy("draw", "arm").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
 
 
 def pairs(arms: list[str]) -> list[tuple[str, str]]:

@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinograph.operators.vectors import group_sums
 from kinograph.session import map_arrow
 
-#: Items of the catalog that are held in memory at once; a larger catalog is gone through in blocks.
-CATALOG_BLOCK = 100_000
+#: Items and users of one block: a task holds the vectors of one block of items and the users that it is multiplied with.
+BLOCK = 8192
 CUTOFFS = (4, 8, 10, 20, 30)
 
 
@@ -23,67 +24,71 @@ def metrics(rank: Column, cutoffs: tuple[int, ...] = CUTOFFS) -> list[Column]:
     return [*(hit[k].cast("double").alias(f"HR@{k}") for k in cutoffs), *(F.when(hit[k], gain).otherwise(0.0).alias(f"NDCG@{k}") for k in cutoffs)]
 
 
-def user_vectors(histories: DataFrame, items: DataFrame) -> DataFrame:
-    """``event_id, target, history, vector``: the sum of the integer vectors of a row's history, null without any.
+def user_vectors(histories: DataFrame, items: DataFrame, dimensions: int) -> DataFrame:
+    """``event_id, target, history, vector``: the sum of the integer vectors of a row's history; zeros without any.
 
     ``histories``: ``event_id, target, history`` (item numbers, 0 for padding); ``items``: ``item_idx, vector``. The sums are
     exact, so they do not depend on the order of rows.
     """
     seen = histories.select("event_id", F.explode(F.filter("history", lambda x: x > 0)).alias("item_idx")).join(items, "item_idx")
-    parts = seen.select("event_id", F.posexplode("vector").alias("d", "x")).groupBy("event_id", "d").agg(F.sum("x").alias("x"))
-    summed = parts.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"))
-    return histories.join(summed.select("event_id", F.col("v.x").alias("vector")), "event_id", "left")
+    summed = group_sums(seen, ["event_id"], dimensions).select("event_id", F.col("sums").alias("vector"))
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), F.lit(dimensions))
+    return histories.join(summed, "event_id", "left").withColumn("vector", F.coalesce("vector", zeros))
 
 
-def masked_ranks(users: DataFrame, items: DataFrame, block: int = CATALOG_BLOCK) -> DataFrame:
+def masked_ranks(users: DataFrame, items: DataFrame, dimensions: int, block: int = BLOCK) -> DataFrame:
     """``event_id, target, rank``: the place of the target among all items by falling score, then item number.
 
     The score of an item is the product of its vector and the user's; items of the history have a score of minus infinity,
-    also if the target is one. Ranks are counted, not sorted: an item adds one if it is better than the target. The catalog
-    is taken in blocks of ``block`` items, each broadcast to one pass over the users, and the counts are added up.
+    also if the target is one. Ranks are counted, not sorted: an item adds one if it is better than the target. A target that
+    is no item has a score of 0. Users and items are divided into blocks of about ``block``; every two blocks meet in one task, which
+    multiplies them as matrices, and the counts of a user's blocks are added up. Every user has a row.
     """
-    scored = users.where("vector IS NOT NULL").join(items.select(F.col("item_idx").alias("target"), F.col("vector").alias("_t")), "target")
+    n_users, n_items = users.count(), items.count()
+    user_blocks, item_blocks = max(1, -(-n_users // block)), max(1, -(-n_items // block))
+    targets = items.select(F.col("item_idx").alias("target"), F.col("vector").alias("_t"))
     score = F.aggregate(F.zip_with("vector", "_t", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, x: s + x)
     masked = F.array_contains("history", F.col("target"))
-    scored = scored.select("event_id", "target", "history", "vector", score.alias("score"), masked.alias("masked"))
-    edges = items.agg(F.min("item_idx").alias("a"), F.max("item_idx").alias("b")).first()
-    total = None
-    for begin in range(edges.a or 0, (edges.b if edges.b is not None else -1) + 1, block):
-        part = items.where(F.col("item_idx").between(begin, begin + block - 1)).orderBy("item_idx").toPandas()
-        if part.empty:
-            continue
-        numbers = part["item_idx"].to_numpy(np.int64)
-        held = users.sparkSession.sparkContext.broadcast((numbers, np.array(part["vector"].tolist(), np.int64)))
-        counted = map_arrow(scored, _better(held), "event_id bigint, target bigint, better bigint")
-        total = counted if total is None else total.unionByName(counted)
-    if total is None:
-        return scored.select("event_id", "target", F.lit(0).cast("bigint").alias("rank")).limit(0)
-    return total.groupBy("event_id", "target").agg((F.sum("better") + 1).alias("rank"))
-
-
-def _better(held):
+    scored = users.join(targets, "target", "left").select(
+        "event_id", "target", "vector", F.array_distinct(F.filter("history", lambda x: x > 0)).alias("history"), F.when(~masked, F.coalesce(score, F.lit(0))).alias("score")
+    )
+    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    number = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = scored.select(number("event_id", user_blocks).alias("ub"), every(item_blocks).alias("ib"), "event_id", "target", "history", "vector", "score")
+    held = items.select(every(user_blocks).alias("ub"), number("item_idx", item_blocks).alias("ib"), null("event_id", "bigint"), F.col("item_idx").alias("target"), null("history", "array<bigint>"), "vector", null("score", "bigint"))
+    arranged = held.unionByName(asked).repartition("ub", "ib").sortWithinPartitions("ub", "ib", F.col("event_id").asc_nulls_first(), "target")
+    counted = map_arrow(arranged, _better(dimensions), "event_id bigint, target bigint, better bigint")
+    return counted.groupBy("event_id", "target").agg((F.sum("better") + 1).alias("rank"))
+
+
+def _better(dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, matrix = held.value
-        floating = matrix.astype(np.float64)  # exact: products stay far below 2**53
+        at, numbers, matrix = None, np.empty(0, np.int64), np.empty((0, dimensions))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = np.array(batch.column("vector").to_pylist(), np.float64)
-            targets, scores = batch.column("target").to_numpy(), batch.column("score").to_numpy()
-            masked = batch.column("masked").to_numpy(zero_copy_only=False)
-            counts = np.zeros(batch.num_rows, np.int64)
-            for begin in range(0, batch.num_rows, 256):
-                rows = slice(begin, begin + 256)
-                product = vectors[rows] @ floating.T
-                earlier = numbers[None, :] < targets[rows, None]
-                for k, history in enumerate(batch.column("history").slice(begin, 256).to_pylist()):
-                    at = np.searchsorted(numbers, sorted({h for h in history if h > 0}))
-                    found = at[at < len(numbers)]
-                    found = found[np.isin(numbers[found], history)]
-                    product[k, found] = -np.inf
-                own = np.where(masked[rows], -np.inf, scores[rows].astype(np.float64))[:, None]
-                counts[rows] = ((product > own) | ((product == own) & earlier)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("target"), pa.array(counts)], ["event_id", "target", "better"])
+            key = batch.column("ub").to_numpy().astype(np.int64) * (1 << 32) + batch.column("ib").to_numpy()
+            begins = np.flatnonzero(np.diff(key, prepend=-1)).tolist()
+            for begin, end in zip(begins, [*begins[1:], len(key)], strict=True):
+                if key[begin] != at:
+                    at, numbers, matrix = key[begin], np.empty(0, np.int64), np.empty((0, dimensions))
+                rows = batch.slice(begin, end - begin)
+                known = rows.column("event_id").null_count  # items come before users
+                vectors = np.array(rows.column("vector").to_pylist(), np.float64).reshape(-1, dimensions)  # exact: products stay far below 2**53
+                targets = rows.column("target").to_numpy()
+                if known:
+                    numbers, matrix = np.concatenate([numbers, targets[:known]]), np.concatenate([matrix, vectors[:known]])
+                for first in range(known, len(targets), 256):
+                    part = rows.slice(first, 256)
+                    target = targets[first : first + 256, None]
+                    own = np.asarray(part.column("score").cast(pa.float64()).fill_null(-np.inf))[:, None]
+                    product = vectors[first : first + 256] @ matrix.T
+                    for k, history in enumerate(part.column("history").to_pylist()):
+                        place = np.searchsorted(numbers, history)
+                        inside = place < len(numbers)
+                        place = place[inside][numbers[place[inside]] == np.array(history)[inside]]
+                        product[k, place] = -np.inf
+                    better = ((product > own) | ((product == own) & (numbers[None, :] < target))).sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([part.column("event_id"), part.column("target"), pa.array(better.astype(np.int64))], ["event_id", "target", "better"])
 
     return run
 
@@ -102,13 +107,15 @@ def in_batch_loss(batch: DataFrame, vectors: DataFrame, log_q: DataFrame, scale:
 
     The logit of row and target is the product of their vectors divided by ``scale``, less the target's ``log_q``; masked
     negatives have -10000. ``vectors``: ``event_id, user_vector, target_vector``; ``batch``: as in ``negative_mask``, with ``event_id``.
+    A row without vectors counts with zeros; a target without ``log_q`` is an error.
     """
-    full = batch.join(vectors, "event_id").join(log_q, "target")
+    known = F.coalesce("log_q", F.raise_error(F.lit("a target has no log_q")).cast("double"))
+    full = batch.join(vectors, "event_id", "left").join(log_q, "target", "left").withColumn("log_q", known)
     left = full.select("batch_id", "row", F.col("target").alias("_t"), F.col("history").alias("_h"), "user_vector")
     right = full.select("batch_id", F.col("row").alias("other"), F.col("target").alias("_o"), "target_vector", "log_q")
     product = F.aggregate(F.zip_with("user_vector", "target_vector", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, x: s + x)
     masked = (F.col("row") != F.col("other")) & (F.array_contains("_h", F.col("_o")) | (F.col("_t") == F.col("_o")))
-    logit = F.when(masked, F.lit(-10000.0)).otherwise(product / F.lit(scale) - F.col("log_q"))
+    logit = F.when(masked, F.lit(-10000.0)).otherwise(F.coalesce(product, F.lit(0)) / F.lit(scale) - F.col("log_q"))
     logits = left.join(right, "batch_id").select("batch_id", "row", "other", logit.alias("logit"))
     top = logits.groupBy("batch_id", "row").agg(F.max("logit").alias("top"), F.max(F.when(F.col("row") == F.col("other"), F.col("logit"))).alias("own"))
     sums = logits.join(top, ["batch_id", "row"]).groupBy("batch_id", "row").agg(F.sum(F.exp(F.col("logit") - F.col("top"))).alias("s"), F.first("top").alias("top"), F.first("own").alias("own"))

@@ -56,11 +56,21 @@ def contiguous_starts(scenes: DataFrame) -> DataFrame:
 def time_windows(scenes: DataFrame, seed: int = 42) -> DataFrame:
     """Each segment moved to a run of consecutive scenes of the same length in its video, drawn evenly from all such runs."""
     default = segments(activity_segments(scenes))
-    starts = contiguous_starts(scenes)
-    runs = default.join(starts, "content_id").where(F.col("run") >= F.col("length"))
-    places = runs.groupBy("content_id", "activity", "start", "length").agg(F.sort_array(F.collect_list("scene_idx")).alias("places"))
-    drawn = F.pmod(hash_number(F.lit(seed), "content_id", "activity", "start"), F.size("places"))
-    moved = places.withColumn("first", F.element_at("places", drawn.cast("int") + 1))
+    ordered = W.partitionBy("content_id").orderBy("scene_idx")
+    islands = scenes.select("content_id", "scene_idx", (F.col("scene_idx") - F.row_number().over(ordered)).alias("island"))
+    runs = islands.groupBy("content_id", "island").agg(F.min("scene_idx").alias("begin"), F.count("*").cast("int").alias("run"))
+    of_content = runs.groupBy("content_id").agg(F.array_sort(F.collect_list(F.struct("begin", "run"))).alias("runs"))
+    places = F.transform("runs", lambda r: F.greatest(r.run - F.col("length") + 1, F.lit(0)))  # of each run, how many starts are in it
+    joined = default.join(of_content, "content_id").withColumn("places", places)
+    number = F.pmod(hash_number(F.lit(seed), "content_id", "activity", "start"), F.aggregate("places", F.lit(0), lambda s, x: s + x)).cast("int")
+    begun = F.struct(number.alias("left"), F.lit(None).cast("int").alias("first"))
+
+    def step(state: Column, run: Column) -> Column:
+        here = (state.left >= 0) & (state.left < run.n)
+        return F.struct((state.left - run.n).alias("left"), F.when(here, run.begin + state.left).otherwise(state.first).alias("first"))
+
+    counted = F.zip_with("runs", "places", lambda r, n: F.struct(r.begin.alias("begin"), n.alias("n")))
+    moved = joined.withColumn("first", F.aggregate(counted, begun, step).first)
     return moved.select("content_id", "activity", "start", "length", F.sequence("first", F.col("first") + F.col("length") - 1).alias("scene_ids"))
 
 
@@ -76,12 +86,17 @@ def random_scenes(scenes: DataFrame, seed: int = 42) -> DataFrame:
 
 def overlap(variant: DataFrame, default: DataFrame) -> DataFrame:
     """``content_id, activity, start, identical, jaccard``: of each segment of a variant, whether a default segment of the
-    video has the same scenes, and the best Jaccard similarity with one."""
-    other = default.select("content_id", F.col("scene_ids").alias("other"))
-    similarity = F.size(F.array_intersect("scene_ids", "other")) / F.size(F.array_union("scene_ids", "other"))
-    compared = variant.select("content_id", "activity", "start", "scene_ids").join(other, "content_id", "left")
-    grouped = compared.groupBy("content_id", "activity", "start")
-    return grouped.agg(F.coalesce(F.max(F.col("scene_ids") == F.col("other")), F.lit(False)).alias("identical"), F.coalesce(F.max(similarity), F.lit(0.0)).alias("jaccard"))
+    video has the same scenes, and the best Jaccard similarity with one. Segments meet at the scenes they share, so those of a
+    long video are not all compared with each other."""
+    names = ["content_id", "activity", "start"]
+    unique = F.array_distinct("scene_ids")
+    one = variant.select(*names, F.size(unique).alias("size"), F.explode(unique).alias("scene"))
+    two = default.select("content_id", F.struct("activity", "start").alias("other"), F.size(unique).alias("other_size"), F.explode(unique).alias("scene"))
+    met = one.join(two, ["content_id", "scene"]).groupBy(*names, "other").agg(F.count("*").alias("common"), F.first("size").alias("size"), F.first("other_size").alias("other_size"))
+    both = F.col("size") + F.col("other_size") - F.col("common")
+    best = met.groupBy(*names).agg(F.max(both == F.col("common")).alias("identical"), F.max(F.col("common") / both).alias("jaccard"))
+    joined = variant.select(*names).join(best, names, "left")
+    return joined.select(*names, F.coalesce("identical", F.lit(False)).alias("identical"), F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"))
 
 
 def length_distribution(found: DataFrame, most: int = 15) -> DataFrame:

@@ -16,16 +16,17 @@ def scaled(vector: str, scale: int = 1000) -> Column:
     return F.transform(vector, lambda x: F.round(x.cast("double") * scale).try_cast("bigint"))
 
 
-def group_sums(rows: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
-    """``keys, size, sums``: the number of vectors of a group and their sum; vectors are combined before the shuffle."""
-    opened = rows.select(*keys, F.posexplode(vector).alias("d", "x"))
-    parts = opened.groupBy(*keys, "d").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-    return parts.groupBy(*keys).agg(F.max("n").alias("size"), F.array_sort(F.collect_list(F.struct("d", "x"))).getField("x").alias("sums"))
+def group_sums(rows: DataFrame, keys: list[str], dimensions: int, vector: str = "vector") -> DataFrame:
+    """``keys, size, sums``: the number of vectors of a group and their sum. Each dimension is one sum of the same aggregate, so
+    what is combined and shuffled is one row for each group of a task."""
+    columns = [F.sum(F.get(vector, F.lit(d))).alias(f"_{d}") for d in range(dimensions)]
+    summed = rows.groupBy(*keys).agg(F.count(vector).alias("size"), *columns)
+    return summed.select(*keys, "size", F.array(*(F.col(f"_{d}") for d in range(dimensions))).alias("sums"))
 
 
 def group_mean(rows: DataFrame, groups: DataFrame, keys: list[str], dimensions: int, vector: str = "vector") -> DataFrame:
     """``keys, size, mean`` of every group in ``groups``; a group without vectors has the size 0 and a mean of zeros."""
-    sums = group_sums(rows, keys, vector)
+    sums = group_sums(rows, keys, dimensions, vector)
     joined = groups.select(*keys).join(sums, keys, "left")
     mean = F.transform("sums", lambda x: x / F.col("size"))
     zeros = F.array_repeat(F.lit(0.0), F.lit(dimensions))

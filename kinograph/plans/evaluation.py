@@ -18,24 +18,26 @@ from kinograph.plans.cohorts import RETAINED, retained, stored_retained
 from kinograph.plans.graphs import BUNDLE, GRAPHS
 from kinograph.plans.media import STORED, latest_scenes
 from kinograph.plans.problems import table
+from kinograph.session import written
 
-DIMENSIONS, BATCH, DRAWS, SEEDS = 64, 128, 100, (42, 43, 44)
+DIMENSIONS, BATCH, DRAWS, SEEDS = 64, 128, 10_000, (42, 43, 44)
 
 
 def catalog_vectors(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
-    """``item_idx, vector`` of the retained items: the first usable catalog vector of the item's content, in thousandths."""
+    """``item_idx, vector`` of all retained items: the first usable catalog vector of the item's content, in thousandths, else zeros."""
     usable = table(spark, sf_dir, "feature_vectors").where((F.col("origin") == "catalog_vectors") & V.usable("vec", DIMENSIONS))
     first = usable.groupBy("content_id").agg(F.min_by("vec", "vec_id").alias("vec"))
-    items = table(spark, sf_dir, "item_inventory").select(F.col("item_id").cast("bigint").alias("item"), "content_id").join(index, "item")
-    return items.join(first, "content_id").select("item_idx", V.scaled("vec").alias("vector"))
+    items = index.join(table(spark, sf_dir, "item_inventory").select(F.col("item_id").cast("bigint").alias("item"), "content_id"), "item", "left")
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), F.lit(DIMENSIONS))
+    return items.join(first, "content_id", "left").select("item_idx", F.coalesce(V.scaled("vec"), zeros).alias("vector"))
 
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = stored_retained(spark, sf_dir)
     index = K.item_index(kept)
     tests = K.history_inputs(kept, index).join(kept.where("back = 1 AND position > 0").select("event_id"), "event_id", "left_semi")
-    items = catalog_vectors(spark, sf_dir, index)
-    return R.masked_ranks(R.user_vectors(tests, items), items)
+    items = written(catalog_vectors(spark, sf_dir, index), "items")
+    return R.masked_ranks(written(R.user_vectors(tests, items, DIMENSIONS), "users"), items, DIMENSIONS)
 
 
 def catalog_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +67,9 @@ def inbatch_negative_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inbatch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch, index, kept = _batches(spark, sf_dir)
     items = catalog_vectors(spark, sf_dir, index)
-    users = R.user_vectors(batch.select("event_id", "target", "history"), items)
+    users = R.user_vectors(batch.select("event_id", "target", "history"), items, DIMENSIONS)
     targets = items.select(F.col("item_idx").alias("target"), F.col("vector").alias("target_vector"))
-    vectors = users.where("vector IS NOT NULL").join(targets, "target").select("event_id", F.col("vector").alias("user_vector"), "target_vector")
+    vectors = users.join(targets, "target").select("event_id", F.col("vector").alias("user_vector"), "target_vector")
     log_q = K.popularity(K.leave_one_out(kept)).join(index, "item").select(F.col("item_idx").alias("target"), "log_q")
     return R.in_batch_loss(batch, vectors, log_q, 1e7).withColumn("loss", F.round("loss", 6))
 
@@ -254,7 +256,7 @@ USABLE_VECTOR = "len(vec) = 64 AND list_bool_and([x IS NOT NULL AND isfinite(x)
 
 VECTORS = f"""{RETAINED},
 firsts AS (SELECT content_id, arg_min(vec, vec_id) AS vec FROM feature_vectors WHERE origin = 'catalog_vectors' AND {USABLE_VECTOR} GROUP BY 1),
-items AS (SELECT item_idx, [round(CAST(x AS DOUBLE) * 1000) FOR x IN vec] AS v FROM item_inventory JOIN indexed ON CAST(item_id AS BIGINT) = item JOIN firsts USING (content_id)),
+items AS (SELECT item_idx, coalesce([round(CAST(x AS DOUBLE) * 1000) FOR x IN vec], list_resize(CAST([] AS DOUBLE[]), 64, 0.0)) AS v FROM indexed LEFT JOIN item_inventory ON CAST(item_id AS BIGINT) = item LEFT JOIN firsts USING (content_id)),
 inputs AS (SELECT event_id, back, position, item_idx AS target, coalesce(list(item_idx) OVER (PARTITION BY "user" ORDER BY position ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []) AS history
     FROM kept JOIN indexed USING (item)),
 parts AS (SELECT event_id, d, sum(v[d]) AS x FROM (SELECT event_id, unnest(history) AS item_idx FROM inputs) JOIN items USING (item_idx), range(1, 65) t(d) GROUP BY 1, 2),
@@ -276,12 +278,14 @@ runs AS (SELECT "user", arm, seed, 1 + CAST('0x' || substr(md5(concat_ws('|', ar
     FROM kept, generation_arms, (VALUES (42), (43), (44)) s(seed) WHERE back = 1),
 metrics AS (SELECT *, CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0.0 END AS ndcg FROM runs)"""
 
-_WEIGHT = "CASE " + " ".join(f"WHEN x < {limit!r} THEN {k}" for k, limit in enumerate(sum(D.math.exp(-1) / D.math.factorial(j) for j in range(k + 1)) for k in range(9))) + " ELSE 9 END"
+_MIX = f"(xor(x, x >> 16) * {D.MIXER}) & 4294967295"
+_WEIGHT = "CASE " + " ".join(f"WHEN x < {limit} THEN {k}" for k, limit in enumerate(D.POISSON)) + f" ELSE {len(D.POISSON)} END"
 
 RESAMPLED = f"""{RUNS},
 means AS (SELECT "user", arm, avg(ndcg) AS value FROM metrics GROUP BY 1, 2),
-drawn AS (SELECT "user", draw, {_WEIGHT} AS w FROM (SELECT "user", draw, CAST('0x' || substr(md5(concat_ws('|', 42, draw, "user")), 1, 8) AS BIGINT) / 4294967296.0 AS x
-    FROM (SELECT DISTINCT "user" FROM means), range(0, 100) t(draw))),
+hashed AS (SELECT "user", draw, (CAST('0x' || substr(md5(concat_ws('|', 42, "user")), 1, 8) AS BIGINT) + draw * {D.STRIDE}) & 4294967295 AS x FROM (SELECT DISTINCT "user" FROM means), range(0, {DRAWS}) t(draw)),
+once AS (SELECT "user", draw, {_MIX} AS x FROM hashed), twice AS (SELECT "user", draw, {_MIX} AS x FROM once), mixed AS (SELECT "user", draw, xor(x, x >> 16) AS x FROM twice),
+drawn AS (SELECT "user", draw, {_WEIGHT} AS w FROM mixed),
 resampled AS (SELECT draw, arm, sum(w * value) / sum(w) AS mean FROM means JOIN drawn USING ("user") GROUP BY 1, 2)"""
 
 UNCUT = r"""

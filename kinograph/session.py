@@ -64,7 +64,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage is cut and survives lost executors.
 
-    The files are needed for as long as the returned frame is used; they are deleted when the driver ends.
+    The files are needed for as long as the returned frame is used; they are deleted by ``discard``, or when the driver ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"kinograph-{name}-{uuid.uuid4().hex}")
@@ -73,7 +73,16 @@ def written(df: DataFrame, name: str = "t", partition_by: str | None = None) ->
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    result = spark.read.schema(df.schema).parquet(path)
+    result._kinograph_path = path
+    return result
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame made by ``written``, which nothing uses any more. Other frames are left alone."""
+    path = getattr(df, "_kinograph_path", None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:

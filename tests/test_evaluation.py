@@ -16,14 +16,12 @@ def test_masked_ranks(spark, block):
     rng = np.random.default_rng(1)
     items = rng.integers(-3, 4, (12, 4))
     table = spark.createDataFrame([(k + 1, x.tolist()) for k, x in enumerate(items)], "item_idx long, vector array<long>")
-    cases = [(n, int(rng.integers(1, 13)), rng.integers(0, 13, 5).tolist()) for n in range(40)] + [(40, 3, list(range(1, 13)))]
+    cases = [(n, int(rng.integers(1, 13)), rng.integers(0, 13, 5).tolist()) for n in range(40)] + [(40, 3, list(range(1, 13))), (41, 5, [0, 0])]
     users = spark.createDataFrame(cases, "event_id long, target long, history array<long>")
-    found = {r.event_id: r["rank"] for r in R.masked_ranks(R.user_vectors(users, table), table, block).collect()}
+    found = {r.event_id: r["rank"] for r in R.masked_ranks(R.user_vectors(users, table, 4), table, 4, block).collect()}
     for event, target, history in cases:
         seen = {h for h in history if h}
-        if not seen:
-            continue
-        user = sum(items[h - 1] for h in history if h)
+        user = sum((items[h - 1] for h in history if h), np.zeros(4, np.int64))
         scores = [(-math.inf if k + 1 in seen else int(items[k] @ user)) for k in range(12)]
         order = sorted(range(1, 13), key=lambda k: (-scores[k - 1], k))
         assert found[event] == order.index(target) + 1
@@ -74,8 +72,12 @@ def test_paired_bootstrap(spark):
     row = D.comparisons(observed, draws, ["base", "more"]).first()
     assert (row.left, row.right, row.superior, row.inferior) == ("more", "base", True, False) and math.isclose(row.low, 0.25, abs_tol=1e-9)
     assert D.pairs(["d", "b", "g"]) == [("b", "d"), ("g", "d"), ("g", "b")]
-    weights = spark.range(4000).select(D.poisson_weight(D.hash_number("id") / 2**32).alias("w")).agg(F.avg("w"), F.variance("w")).first()
-    assert abs(weights[0] - 1) < 0.06 and abs(weights[1] - 1) < 0.12
+    weights = D.weights(np.random.default_rng(1).integers(0, 2**32, 500), 400)
+    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02 and abs(np.corrcoef(weights[:, 0], weights[:, 1])[0, 1]) < 0.15
+    hashes = [r[0] for r in spark.range(60).select(D.hash_number(F.lit(42), "id")).collect()]
+    drawn = D.weights(np.array(hashes), 50)
+    base = np.array([u / 7 for u in range(60)])
+    assert {r.draw: r["mean"] for r in draws.where("arm = 'base'").collect()} == pytest.approx({d: float(drawn[:, d] @ base / drawn[:, d].sum()) for d in range(50)})
 
 
 def test_run_comparison(spark):
