@@ -43,15 +43,24 @@ def stored_lengths(text: Column) -> dict[str, Column]:
     }
 
 
+def _lengths(text: Column) -> Column:
+    return F.struct(*(c.cast("bigint").alias(m) for m, c in stored_lengths(text).items()))
+
+
 def storage_limits(texts: DataFrame) -> DataFrame:
-    """``arm, measure, length, texts`` of the lengths at which too many different texts of an arm end.
+    """``arm, measure, length, texts`` of the lengths at which too many different texts of an arm end. ``texts``: ``arm, raw_output``."""
+    return _limits(texts.select("arm", F.xxhash64("raw_output").alias("hash"), _lengths(F.col("raw_output")).alias("lengths")))
+
 
-    ``texts``: ``arm, raw_output``. Copies of a text count once. Each text is measured in every form; per arm and form the
-    lengths are counted (combined before the shuffle) and compared with their neighbours, to which every count is sent.
+def _limits(measured: DataFrame) -> DataFrame:
+    """``storage_limits`` of ``arm, hash, lengths``.
+
+    Copies of a text count once. Each text is measured in every form; per arm and form the lengths are counted (combined before
+    the shuffle) and compared with their neighbours, to which every count is sent. No text is shuffled.
     """
-    different = texts.groupBy("arm", F.xxhash64("raw_output").alias("hash")).agg(F.min("raw_output").alias("raw_output"))
-    measures = stored_lengths(F.col("raw_output"))
-    each = different.select("arm", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), c.cast("bigint").alias("length")) for m, c in measures.items()))).alias("m"))
+    names = measured.schema["lengths"].dataType.names
+    different = measured.groupBy("arm", "hash").agg(*(F.max(F.col(f"lengths.{m}")).alias(m) for m in names))
+    each = different.select("arm", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in names))).alias("m"))
     counts = each.groupBy("arm", "m.measure", "m.length").agg(F.count("*").alias("texts"))
     offsets = F.array(*(F.lit(d) for d in range(-NEAR, NEAR + 1)))
     sent = counts.select("arm", "measure", "length", "texts", F.explode(offsets).alias("d"))
@@ -109,26 +118,27 @@ def judged_outputs(outputs: DataFrame, arms: DataFrame) -> DataFrame:
         F.col("tokens").cast("bigint").alias("tokens"), F.coalesce(F.col("finish_reason").cast("string"), F.lit("")).alias("reason"),
         F.coalesce(F.array_contains("warning", "TOKEN_LIMIT"), F.lit(False)).alias("warned"),
     ).where(F.col("raw_output").rlike(r"\S"))
-    limits = written(storage_limits(named.select(F.coalesce("arm", F.lit("")).alias("arm"), "raw_output")), "limits")
-    by_length = limits.groupBy("arm").agg(F.array_sort(F.collect_list(F.struct("measure", "length"))).alias("limits"))  # at most 1 / LIMIT_SHARE a measure
-    if limits.count() <= BROADCAST_ROWS:
-        by_length = F.broadcast(by_length)
-    joined = named.join(arms_known, "arm", "left").withColumn("arm_key", F.coalesce("arm", F.lit("")))
-    joined = joined.join(by_length.withColumnRenamed("arm", "arm_key"), "arm_key", "left")
-
     text = F.col("raw_output")
     graph = F.coalesce(F.col("kind") == "graph", text.rlike(r"^\s*(?:```[^\n]*\n)?\W*(?i:context)\b"))
-    lengths = F.array(*(F.struct(F.lit(m).alias("measure"), c.cast("bigint").alias("length")) for m, c in stored_lengths(text).items()))
     complete = F.when(graph, graph_is_complete(text)).otherwise(prose_is_complete(text))
     says_limit = F.col("reason").rlike(_LIMIT_REASON) | F.col("warned")
     says_stop = F.col("reason").rlike(_STOP_REASON) & ~says_limit
     reached = F.coalesce(F.col("tokens") >= F.col("most"), F.lit(False))
+    scarce = F.length(text) < LEAST_CHARACTERS * F.col("tokens")
     mostly_ascii = F.length(F.regexp_replace(text, r"[^\x00-\x7F]+", "")) > 0.9 * F.length(text)
-    short = F.coalesce(mostly_ascii & ~reached & (F.length(text) < LEAST_CHARACTERS * F.col("tokens")), F.lit(False))
-    measured = joined.select(
-        "output_id", "arm", complete.alias("complete"), says_limit.alias("says_limit"), (reached & ~says_stop).alias("reached"), short.alias("short"),
-        F.when(F.col("limits").isNotNull(), F.array_intersect("limits", lengths)).alias("hits"),
+    short = F.coalesce(~reached & scarce & mostly_ascii, F.lit(False))
+    measured = named.join(arms_known, "arm", "left").select(
+        "output_id", F.col("arm").alias("known_arm"), F.coalesce("arm", F.lit("")).alias("arm"), complete.alias("complete"), says_limit.alias("says_limit"),
+        (reached & ~says_stop).alias("reached"), short.alias("short"), F.xxhash64("raw_output").alias("hash"), _lengths(text).alias("lengths"),
     )
+    measured = written(measured, "measured")  # all that is needed of the texts, which are read once
+    limits = written(_limits(measured), "limits")
+    by_length = limits.groupBy("arm").agg(F.array_sort(F.collect_list(F.struct("measure", "length"))).alias("limits"))  # at most 1 / LIMIT_SHARE a measure
+    if limits.count() <= BROADCAST_ROWS:
+        by_length = F.broadcast(by_length)
+    lengths = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"lengths.{m}").alias("length")) for m in measured.schema["lengths"].dataType.names))
+    hits = F.when(F.col("limits").isNotNull(), F.array_intersect("limits", lengths))
+    judged = measured.join(by_length, "arm", "left").withColumn("hits", hits)
     at_limit = F.coalesce(F.size("hits") > 0, F.lit(False))
     cause = (
         F.when(F.col("says_limit") | F.col("reached"), "token_limit")
@@ -136,7 +146,8 @@ def judged_outputs(outputs: DataFrame, arms: DataFrame) -> DataFrame:
         .when(~F.col("complete"), "transfer")
     )
     measure = F.when(F.col("cause") == "storage_limit", F.try_element_at("hits", F.lit(1)).measure)
-    return measured.withColumn("cause", cause).select("output_id", "arm", F.col("cause").isNotNull().alias("cut"), "cause", measure.alias("limit_measure"))
+    judged = judged.withColumn("cause", cause)
+    return judged.select("output_id", F.col("known_arm").alias("arm"), F.col("cause").isNotNull().alias("cut"), "cause", measure.alias("limit_measure"))
 
 
 def cut_shares(judged: DataFrame) -> DataFrame:
