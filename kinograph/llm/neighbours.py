@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinograph.session import map_arrow, written
+from kinograph.session import discard, map_arrow, written
 
 DIMENSIONS = 64
 #: Neighbours that each vector keeps while the graph is built, and reverse neighbours that take part in a step. The graph is an
@@ -204,6 +204,12 @@ def _merged(lists: DataFrame, degree: int) -> DataFrame:
     return map_arrow(arranged, _merge_lists(degree), _GRAPH)
 
 
+def _reverse_lists(graph: DataFrame, degree: int) -> DataFrame:
+    """``id, entries, others``: of the vectors in whose lists a vector is, the ``degree`` most similar. Lists are cut in each batch
+    and again when they meet, so a vector that is in very many lists is not gathered with all of them."""
+    return _merged(map_arrow(graph.select("id", "entries"), _reversed(degree), _LISTS), degree).select("id", "entries", "others")
+
+
 def _aged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lists with no entry fresh."""
     for batch in batches:
@@ -335,11 +341,13 @@ def neighbour_graph(
             break
         vectors = halves.join(graph.select("id", "least"), "id")
         own = graph.select("id", "entries", F.lit(True).alias("forth"))
-        back = map_arrow(graph.select("id", "entries"), _reversed(degree), _LISTS).withColumn("forth", F.lit(False))
-        pairs = graph.select("id", F.explode("others").alias("other"))
-        needed = pairs.select(F.col("id").alias("owner"), F.col("other").alias("id")).union(pairs.select(F.col("other").alias("owner"), "id"))
-        offered = _grouped(own.unionByName(back), needed, vectors, groups, _step(degree), _LISTS)
-        graph = written(_merged(offered.unionByName(map_arrow(graph.select("id", "entries"), _aged, _LISTS)), degree), "graph")
+        back = written(_reverse_lists(graph, degree), "reverse")
+        needed = graph.select("id", "others").unionByName(back.select("id", "others")).select(F.col("id").alias("owner"), F.explode("others").alias("id"))
+        lists = own.unionByName(back.select("id", "entries", F.lit(False).alias("forth")))
+        offered = _grouped(lists, needed, vectors, groups, _step(degree), _LISTS)
+        before, graph = graph, written(_merged(offered.unionByName(map_arrow(graph.select("id", "entries"), _aged, _LISTS)), degree), "graph")
+        discard(before)
+        discard(back)
     return graph.select("id", "others", "entries")
 
 
@@ -448,6 +456,50 @@ def search(graph: DataFrame, units: DataFrame, queries: DataFrame, k: int = 10,
     return state.where(F.col("r") <= k).select("query", "id", "cosine", F.col("r").alias("rank"))
 
 
+def _block_best(k: int):
+    """The ``k`` best of a block of items for each query of a block of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, matrix = None, np.empty(0, np.int64), np.empty((0, DIMENSIONS), np.float32)
+        for batch in batches:
+            key = batch.column("block").to_numpy()
+            begins = np.flatnonzero(np.diff(key, prepend=-1)).tolist()
+            for begin, end in zip(begins, [*begins[1:], len(key)], strict=True):
+                if key[begin] != at:
+                    at, names, matrix = key[begin], np.empty(0, np.int64), np.empty((0, DIMENSIONS), np.float32)
+                rows = batch.slice(begin, end - begin)
+                asked = rows.column("query").null_count  # queries come after items
+                unit, ids = _matrix(rows.column("unit")), rows.column("id").to_numpy(zero_copy_only=False)
+                if asked:
+                    names, matrix = np.concatenate([names, ids[:asked].astype(np.int64)]), np.concatenate([matrix, unit[:asked]])
+                queries = rows.column("query").slice(asked).to_numpy(zero_copy_only=False).astype(np.int64)
+                for first in range(0, len(queries), 256):
+                    cosine = unit[asked + first : asked + first + 256].astype(np.float64) @ matrix.T.astype(np.float64)
+                    most = min(k, len(names))
+                    best = np.argpartition(-cosine, most - 1, axis=1)[:, :most] if most else np.empty((len(cosine), 0), np.int64)
+                    owner = np.repeat(queries[first : first + 256], most)
+                    yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(names[best].ravel()), pa.array(np.take_along_axis(cosine, best, 1).ravel())], ["query", "id", "cosine"])
+
+    return run
+
+
+def block_search(units: DataFrame, queries: DataFrame, k: int = 10, block: int = GROUP) -> DataFrame:
+    """``query, id, cosine, rank``: the exact way, each query against every vector, in blocks; ties go to the smaller id.
+
+    ``units``: ``id, unit``, ``queries``: ``query, unit``. Blocks of vectors and queries meet as matrices, and only the ``k`` best of a block
+    are shuffled. For a stated set of queries, and to measure the recall of the other ways.
+    """
+    n, asked = max(1, -(-units.count() // block)), max(1, -(-queries.count() // block))
+    number = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    held = units.select("id", "unit", every(asked).alias("_q")).select((number("id", n) * asked + F.col("_q")).alias("block"), F.lit(None).cast("bigint").alias("query"), "id", "unit")
+    sent = queries.select("query", "unit", every(n).alias("_n")).select((F.col("_n") * asked + number("query", asked)).alias("block"), "query", F.lit(None).cast("bigint").alias("id"), "unit")
+    arranged = held.unionByName(sent).repartition("block").sortWithinPartitions("block", F.col("query").asc_nulls_first())
+    found = map_arrow(arranged, _block_best(k), "query bigint, id bigint, cosine double")
+    by_query = W.partitionBy("query").orderBy(F.desc("cosine"), "id")  # cut to k in each task before the shuffle
+    return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+
+
 def graph_search(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "vec", **settings) -> DataFrame:
     """``search`` with the usable vectors whose id is divisible by ``every`` as queries, against all; a query does not find itself.
 

@@ -103,3 +103,27 @@ def test_dense_group_of_near_copies(spark):
     found = N.most_similar(frame(spark, vectors), 10).toPandas()
     expected = brute(vectors, 10)
     assert sum(len(set(g.other) & set(expected[i])) for i, g in found.groupby("id") if i < 35) >= 345
+
+
+def test_block_search_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(k, v) for k, v in enumerate(rng.standard_normal((700, 64)))]
+    units = N.unit_vectors(frame(spark, vectors)).cache()
+    queries = units.where("id % 100 = 0").selectExpr("id AS query", "unit")
+    expected = brute(vectors, 10)
+    for block in (64, 8192):
+        found = N.block_search(units, queries, 11, block).where("query <> id").toPandas().sort_values(["query", "rank"])
+        assert {q: g.id.tolist() for q, g in found.groupby("query")} == {q: expected[q] for q in range(0, 700, 100)}
+    assert N.block_search(units.limit(0), queries).count() == 0 and N.block_search(units, queries.limit(0)).count() == 0
+
+
+def test_hub_in_all_lists(spark):
+    """A vector that is near to all others is in all lists; its own list is right, and theirs are too."""
+    rng = np.random.default_rng(6)
+    spread = rng.standard_normal((1500, 64))
+    vectors = [(0, np.ones(64))] + [(k + 1, np.ones(64) * 2 + v) for k, v in enumerate(spread)]
+    found = N.most_similar(frame(spark, vectors), 10).toPandas()
+    expected = brute(vectors, 10)
+    hits = {i: len(set(g.other) & set(expected[i])) for i, g in found.groupby("id")}
+    assert hits[0] >= 9 and sum(hits.values()) >= 0.95 * 10 * len(vectors)
+    assert (found.other == 0).sum() > 1000
