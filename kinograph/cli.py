@@ -32,8 +32,14 @@ def load_config(path: str) -> Config:
     for name in ("penalties", "seeds"):
         if name in values:
             values[name] = tuple(values[name])
+    experiments = values.get("experiments", [])
+    known = {"": (values, Config), "training": (values.get("training", {}), Training)}
+    unknown = [f"{name}.{x}".strip(".") for name, (given, kind) in known.items() for x in given if x not in kind.__dataclass_fields__]
+    unknown += [f"experiments.{x}" for e in experiments for x in e if x not in ("label", "source")]
+    if unknown:
+        raise ValueError(f"unknown settings: {', '.join(sorted(set(unknown)))}")
     if "experiments" in values:
-        values["experiments"] = tuple((e["label"], e["source"]) for e in values["experiments"])
+        values["experiments"] = tuple((e["label"], e["source"]) for e in experiments)
     if "training" in values:
         values["training"] = Training(**values["training"])
     return Config(**values)

@@ -74,3 +74,28 @@ def missing_scenes(windows: DataFrame, present: DataFrame) -> DataFrame:
     actual = present.groupBy("content_id").agg(F.collect_set(F.col("scene_idx").cast("int")).alias("a"))
     absent = F.size(F.array_except("e", F.coalesce("a", F.array().cast("array<int>"))))
     return expected.join(actual, "content_id", "left").select("content_id", F.size("e").alias("expected"), absent.alias("missing"), (absent == 0).alias("complete"))
+
+
+def keyframe_fallbacks(scenes: DataFrame, windows: DataFrame) -> DataFrame:
+    """``scenes`` with ``keyframes``: of each scene its keyframes, ascending, each once, cut down to tenths of a second.
+
+    They come from the first of these that there is: ``timeline`` (array of struct with ``timestamp``), if all of its shots have one;
+    ``keyframe_timestamps``; ``keyframes_given``; the planned ones of the window with the scene's index in ``windows`` (``content_id,
+    scene_idx, keyframe_ticks``), where a scene without ``scene_idx`` counts by its ``position``. Negative and unusable times are
+    left out; nothing at all gives an empty list.
+    """
+    shots = F.transform("timeline", lambda t: t.timestamp)
+    complete = (F.size("timeline") > 0) & F.forall(shots, lambda t: t.isNotNull())
+    filled = lambda c: F.when(F.size(c) > 0, F.col(c))
+    plan = windows.select("content_id", F.col("scene_idx").alias("_at"), F.transform("keyframe_ticks", lambda t: t / 10).alias("_planned"))
+    at = scenes.withColumn("_at", F.coalesce("scene_idx", "position"))
+    chosen = F.coalesce(F.when(complete, shots), filled("keyframe_timestamps"), filled("keyframes_given"), F.col("_planned"), F.array().cast("array<double>"))
+    usable = F.filter(chosen, lambda t: t.isNotNull() & ~F.isnan(t) & (t >= 0) & (t < 1e11))
+    tenths = F.transform(usable, lambda t: (F.floor(t.cast("decimal(18,6)") * 10) / 10).cast("double"))
+    return at.join(plan, ["content_id", "_at"], "left").withColumn("keyframes", F.array_sort(F.array_distinct(tenths))).drop("_at", "_planned")
+
+
+def scene_bound(own: Column, planned: Column, fallback: Column) -> Column:
+    """A scene's start or end as a number: its own text or number, else the planned one, else the fallback if that is no number."""
+    number = F.coalesce(own.cast("string"), planned.cast("string")).try_cast("double")
+    return F.coalesce(F.when(~F.isnan(number), number), fallback.cast("double"))

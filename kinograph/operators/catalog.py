@@ -82,3 +82,10 @@ def available_interactions(log: DataFrame, eligible: DataFrame) -> tuple[DataFra
     kept = log.join(eligible.select("item"), "item", "left_semi")
     lost = log.join(eligible.select("item"), "item", "left_anti").groupBy("item").agg(F.count("*").alias("excluded"))
     return kept, lost
+
+
+def require_all(required: DataFrame, given: DataFrame, key: str, message: str) -> None:
+    """An error that names some of the ``required`` keys that are not ``given``."""
+    missing = required.select(key).join(given.select(key), key, "left_anti").limit(3).collect()
+    if missing:
+        raise ValueError(f"{message}: {[r[0] for r in missing]}")

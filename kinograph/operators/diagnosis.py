@@ -108,10 +108,20 @@ def comparisons(observed: DataFrame, resampled: DataFrame, arms: list[str], alph
 
 
 def compare_runs(one: DataFrame, two: DataFrame, keys: list[str], metric: str) -> DataFrame:
-    """``arm, events, difference`` between two runs over the same events; an error if their keys differ."""
-    for a, b, name in ((one, two, "second"), (two, one, "first")):
-        if not a.select(*keys).exceptAll(b.select(*keys)).isEmpty():
-            raise ValueError(f"the {name} run lacks events of the other")
+    """``arm, events, difference`` between two runs over the same events; an error if their keys differ.
+
+    Where the runs have a ``split`` or a ``seed``, these must be the same for every arm too, also if they are no keys.
+    """
+    for name in ("split", "seed"):
+        if (name in one.columns) != (name in two.columns):
+            raise ValueError(f"only one run has a {name}")
+    grid = ["arm", *(c for c in ("split", "seed") if c in one.columns)]
+    for columns, what in ((grid, "arms, splits or seeds"), (keys, "events")):
+        for a, b, name in ((one, two, "second"), (two, one, "first")):
+            left, right = a.select(*columns), b.select(*columns)
+            left, right = (left, right) if columns is keys else (left.distinct(), right.distinct())
+            if not left.exceptAll(right).isEmpty():
+                raise ValueError(f"the {name} run lacks {what} of the other")
     joined = one.select(*keys, F.col(metric).alias("_one")).join(two.select(*keys, F.col(metric).alias("_two")), keys)
     return joined.groupBy("arm").agg(F.count("*").alias("events"), F.avg(F.col("_two") - F.col("_one")).alias("difference"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinograph.functions import graphtext
+
 #: One tag counts for a scene, the first of these that it has.
 TAGS = ("TOKEN_LIMIT", "PARSE_FAILED", "REPEAT_OCCURRED")
 USABLE_TAGS = ("REPEAT_OCCURRED",)
@@ -82,6 +84,22 @@ def best_pass(results: DataFrame, keys: list[str]) -> DataFrame:
     return results.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_r")).select(*keys, "_r.*")
 
 
+def reclassified(stored: DataFrame) -> DataFrame:
+    """``stored`` with ``changed``: rows whose graph could not be read when they were stored are read by the reader of today.
+
+    ``stored`` has ``raw_output, graph, error, tags``. Only rows without an error whose only tag is PARSE_FAILED are read; if that
+    succeeds they get the graph and lose the tag. All other rows stay as they are.
+    """
+    again = F.col("error").isNull() & (F.col("tags") == F.array(F.lit(graphtext.PARSE_FAILED)))
+    kept = [c for c in stored.columns if c not in ("graph", "tags", "mode")]
+    old = stored.withColumnsRenamed({"graph": "_graph", "mode": "_mode"})
+    read = graphtext.with_graphs(old, F.when(again, F.col("raw_output"))).withColumn("changed", F.col("graph").isNotNull())
+    new = lambda c: F.when(F.col("changed"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+    tags = F.when(F.col("changed"), F.array().cast("array<string>")).otherwise(F.col("tags")).alias("tags")
+    by_name = {"graph": new("graph"), "tags": tags} | ({"mode": new("mode")} if "mode" in stored.columns else {})
+    return read.select(*(by_name.get(c, F.col(c)) for c in stored.columns if c in kept or c in by_name), "changed")
+
+
 def generation_passes(requests: DataFrame, generate, penalties: list[float], keys: list[str]) -> DataFrame:
     """Runs ``generate(pending, penalty)``, which returns ``keys, error, tags`` and more, for each penalty in turn.
 

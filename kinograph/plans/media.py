@@ -162,9 +162,37 @@ def segment_overlap_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("jaccard", F.round("jaccard", 12))
 
 
+def keyframe_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes of which, by digest, a quarter has a timeline, a quarter a broken one beside a list, a quarter nothing but an index, and a
+    quarter only a position."""
+    planned = windows(spark, sf_dir)
+    case = (S.hash_number("content_id", "scene_idx") % 4).alias("case")
+    shown = planned.select("content_id", "scene_idx", case, F.transform("keyframe_ticks", lambda t: t / 10).alias("t"))
+    shot = lambda t: F.struct(t.alias("timestamp"))
+    scenes = shown.select(
+        "content_id", F.when(F.col("case") < 3, F.col("scene_idx")).alias("scene_idx"), F.col("scene_idx").alias("position"), F.array().cast("array<double>").alias("keyframes_given"),
+        F.when(F.col("case") == 0, F.transform("t", lambda t: shot(t + 1.04))).when(F.col("case") == 1, F.array(shot(F.lit(1.0)), shot(F.lit(None).cast("double")))).alias("timeline"),
+        F.when(F.col("case") == 1, F.concat(F.reverse("t"), F.array(F.lit(-1.0), F.col("t")[0] + 2.07))).alias("keyframe_timestamps"),
+    )
+    found = sampling.keyframe_fallbacks(scenes, planned)
+    tenths = F.transform("keyframes", lambda t: F.round(t * 10).cast("bigint").cast("string"))
+    return found.select("content_id", "position", F.array_join(tenths, ",").alias("tenths"))
+
+
+def reclassified_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs as a reader without repairs would have stored them, read again."""
+    graphs = latest_scenes(spark, sf_dir).where("representation = 'graph' AND raw_output IS NOT NULL")
+    read = graphtext.with_graphs(graphs, F.col("raw_output"))
+    native = F.coalesce(F.col("mode") == "native", F.lit(False))
+    tags = F.when(native, F.array().cast("array<string>")).otherwise(F.array(F.lit(graphtext.PARSE_FAILED)))
+    stored = read.select("output_id", "raw_output", "error", F.when(native, F.col("graph")).alias("graph"), tags.alias("tags"))
+    return O.reclassified(stored).select("output_id", "changed", F.col("graph").isNotNull().alias("readable"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        keyframe_fallbacks, reclassified_scenes,
         fixed_windows, keyframe_timestamps, evidence_totals, missing_scenes, scene_requests, latest_scene_upsert, scene_tags, outcome_histogram, scene_admission, scene_coverage,
         pending_scenes, best_passes, repeated_lines, activity_keys, activity_segments, segment_list, segment_length_distribution, segment_summary, action_bag,
         contiguous_starts, time_window_variant, random_variant, segment_overlap_jaccard,
@@ -222,6 +250,10 @@ _SHOW = "content_id, activity, start, length, array_to_string(scene_ids, ',') AS
 _HASH = "CAST('0x' || substr(md5(concat_ws('|', {})), 1, 8) AS BIGINT)"
 
 ORACLE = {
+    "keyframe_fallbacks": f"""WITH {WINDOWS}, c AS (SELECT content_id, scene_idx, ticks, {_HASH.format("content_id, scene_idx")} % 4 AS k FROM frames)
+        SELECT content_id, scene_idx AS position, array_to_string(list_sort(list_distinct(CASE k WHEN 0 THEN [t + 10 FOR t IN ticks] WHEN 1 THEN list_append(ticks, list_min(ticks) + 20) ELSE ticks END)), ',') AS tenths FROM c""",
+    "reclassified_scenes": f"""WITH {GRAPHS}, {STORED} SELECT output_id, ok AND NOT native AND error IS NULL AS changed, native OR ok AND error IS NULL AS readable
+        FROM latest JOIN graphs USING (output_id) WHERE representation = 'graph'""",
     "fixed_windows": f"""WITH {WINDOWS} SELECT content_id, scene_idx, s / 1000000.0 AS scene_start, e / 1000000.0 AS scene_end, round((e - s) / 1000000.0, 6) AS duration,
         array_to_string([printf('%.3f', x / 1000000.0) FOR x IN b], ',') AS shot_changes FROM frames""",
     "keyframe_timestamps": f"""WITH {WINDOWS} SELECT content_id, scene_idx, t / 10.0 AS timestamp, lpad(CAST(t // 10 AS VARCHAR), 4, '0') || CASE WHEN t % 10 > 0 THEN '_' || (t % 10) ELSE '' END AS stem

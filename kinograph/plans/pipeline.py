@@ -7,20 +7,34 @@ files. Without them the steps use deterministic stand-ins, so the whole pipeline
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinograph.functions import activity, graphtext, ids, sampling
 from kinograph.operators import bundle, catalog, cohort, diagnosis, outcomes, ranking, segments, towers, training
-from kinograph.session import ship, written
+from kinograph.session import map_arrow, ship, written
 from kinograph.sources import manifest, readers
 
 
+def each_row(rows: DataFrame, names: list[str], function: Callable, result: str, kind: str, arrow: pa.DataType) -> DataFrame:
+    """``rows`` with ``function`` of the columns ``names`` as ``result``: one call a row, batch by batch in one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [function(*values) for values in zip(*(batch.column(n).to_pylist() for n in names), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], [*batch.schema.names, result])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), f"{result} {kind}"])
+    return map_arrow(rows, run, schema)
+
+
 class StepError(RuntimeError):
     """A step cannot go on; what speaks against it has been published where possible."""
 
@@ -43,6 +57,7 @@ class Config:
     media: str = ""
     ratings: str | None = None
     movies: str | None = None
+    id_map: str | None = None
     scene_seconds: int = 30
     keyframes: int = 6
     min_events: int = cohort.MIN_EVENTS
@@ -58,6 +73,8 @@ class Config:
     def __post_init__(self):
         sampling.check_sampling(self.scene_seconds, self.keyframes)
         labels = [label.casefold() for label, _ in self.experiments]
+        if any(re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_+.-]*", label) is None for label, _ in self.experiments):
+            raise ValueError("a label names folders: it begins with a letter or digit, then letters, digits, _, +, . and - follow")
         if len(set(labels)) < len(labels) or any(source not in ("metadata", "graph", "description") for _, source in self.experiments):
             raise ValueError("experiments need labels that differ and a known source")
 
@@ -88,6 +105,13 @@ class Pipeline:
         manifest.publish(make(), folder, identity)
         return manifest.load(self.spark, folder, identity)
 
+    def _made_from(self, name: str) -> str | None:
+        """The identity of an earlier step's result, which holds those of the steps before it."""
+        return manifest.identity_of(self.spark, self.config.folder(name))
+
+    def _scene_identity(self, kinds: list[str]) -> dict:
+        return {kind: manifest.content_fingerprint(self._scenes(kind).select("content_id", "scene_idx", "raw_output")) for kind in kinds}
+
     def _load(self, name: str) -> dict[str, DataFrame]:
         return manifest.load(self.spark, self.config.folder(name))
 
@@ -97,8 +121,11 @@ class Pipeline:
 
         def make() -> dict[str, DataFrame]:
             if c.ratings:
-                rows, rejected = readers.read_ratings(self.spark, c.ratings)
+                mapped = readers.read_id_map(self.spark, c.id_map) if c.id_map else None
+                rows, rejected = readers.read_ratings(self.spark, c.ratings, mapped)
                 names, missing_video_excludes = readers.read_movies(self.spark, c.movies), True
+                if mapped is not None:
+                    catalog.require_all(mapped, names, "item_id", "mapped movies without a title")
                 rows = rows.withColumnRenamed("line_id", "event_id")
             else:
                 rows, rejected = readers.read_interactions(self.spark, c.interactions)
@@ -106,11 +133,13 @@ class Pipeline:
             broken = rejected.limit(3).collect()
             if broken:
                 raise StepError(f"malformed rows: {[(r.line_no, r.reason) for r in broken]}")
+            rows = written(rows, "log")  # parsed once for all its uses
             items = rows.select("item_id").distinct().withColumn("content_id", ids.content_id(c.dataset, "item_id"))
             files = catalog.match_files(items, readers.list_media(self.spark, c.media))
             probe = self.duration or (lambda path: 30.0 + len(path) % 60)
-            length = F.udf(lambda path: None if path is None else probe(path), "double")  # a process for each file: nothing to vectorise
-            inventory = files.select("item_id", "content_id", F.col("path").alias("source_video_path"), F.when(F.col("status") == "found", length("path")).alias("duration_seconds"), F.col("size").alias("source_file_size"), F.col("mtime_ns").alias("source_mtime_ns"))
+            named = files.select("item_id", "content_id", F.when(F.col("status") == "found", F.col("path")).alias("found"), F.col("path").alias("source_video_path"), F.col("size").alias("source_file_size"), F.col("mtime_ns").alias("source_mtime_ns"))
+            probed = each_row(named, ["found"], lambda path: None if path is None else probe(path), "duration_seconds", "double", pa.float64())
+            inventory = written(probed.drop("found"), "inventory")  # each file is probed once
             judged = catalog.eligibility(inventory).withColumnRenamed("reasons", "exclusion_reasons")
             inventory = inventory.join(judged.drop("content_id"), "item_id")
             extra = readers.read_titles(self.spark, c.supplement, header=True, quoted=True) if c.supplement else names.limit(0)
@@ -126,7 +155,8 @@ class Pipeline:
             kept = rows.join(unusable, "item_id", "left_anti")
             return {"events": kept, "inventory": inventory, "titles": titles.join(unusable, "item_id", "left_anti").select("item_id", "content_id", "title"), "excluded_items": lost}
 
-        return self._step("cohort", {"interactions": c.interactions, "ratings": c.ratings, "media": c.media, "titles": c.titles, "supplement": c.supplement}, make)
+        sources = {name: manifest.file_identity(self.spark, getattr(c, name)) for name in ("interactions", "ratings", "movies", "id_map", "media", "titles", "supplement")}
+        return self._step("cohort", sources, make)
 
     # 2
     def prepare_input_data(self) -> dict[str, DataFrame]:
@@ -137,10 +167,10 @@ class Pipeline:
             frames = sampling.keyframes(windows)
             if self.sampler:
                 sample = self.sampler
-                frames.foreach(lambda r: sample(r.content_id, r.stem))
+                each_row(frames.select("content_id", "stem"), ["content_id", "stem"], sample, "done", "boolean", pa.bool_()).write.format("noop").mode("overwrite").save()
             return {"windows": windows, "frames": frames}
 
-        return self._step("windows", {"seconds": c.scene_seconds, "keyframes": c.keyframes}, make)
+        return self._step("windows", {"seconds": c.scene_seconds, "keyframes": c.keyframes, "cohort": self._made_from("cohort")}, make)
 
     # 3 and 4
     def extract_scenes(self, kind: str) -> dict[str, DataFrame]:
@@ -150,16 +180,17 @@ class Pipeline:
         keys, folder = ["content_id", "scene_idx"], c.folder(f"scenes_{kind}")
         current = manifest.read_json(self.spark, os.path.join(folder, manifest.MANIFEST))
         stored = None if self.force or not current else self.spark.read.parquet(os.path.join(folder, current["tables"][-1]))
+        if stored is not None and kind == "graph":
+            stored, current = self._reclassified(stored, current, folder)
         wanted = expected if stored is None else outcomes.pending(expected, stored, keys)
 
         def generate(left: DataFrame, penalty: float) -> DataFrame:
-            make = F.udf(lambda content, scene: text(content, scene, kind, penalty), "string")
-            raw = left.select(*keys, make(*keys).alias("raw_output"), F.monotonically_increasing_id().alias("request"))
-            raw = written(raw, "responses")
+            made = each_row(left.select(*keys), keys, lambda content, scene: text(content, scene, kind, penalty), "raw_output", "string", pa.string())
+            raw = written(made, "responses")
             failed = F.when(~F.coalesce("raw_output", F.lit("")).rlike(r"\S"), "empty output")
             if kind != "graph":
                 return raw.select(*keys, "raw_output", failed.alias("error"), F.array().cast("array<string>").alias("tags"))
-            read = raw.join(graphtext.parse_graphs(raw, "request"), "request")
+            read = graphtext.with_graphs(raw, F.col("raw_output"))
             tags = F.when(failed.isNull() & F.col("graph").isNull(), F.array(F.lit(graphtext.PARSE_FAILED))).otherwise(F.array().cast("array<string>"))
             return read.select(*keys, "raw_output", "graph", "mode", failed.alias("error"), tags.alias("tags"))
 
@@ -171,6 +202,17 @@ class Pipeline:
             manifest.write_json(self.spark, os.path.join(folder, manifest.MANIFEST), {"status": "ready", "tables": [f"rows_{number}"]})
         return {"rows": self._scenes(kind)}
 
+    def _reclassified(self, stored: DataFrame, current: dict, folder: str) -> tuple[DataFrame, dict]:
+        """Stored rows that could not be read once and can be now; they are rewritten only if there is one."""
+        found = written(outcomes.reclassified(stored), "reclassified")
+        if found.where("changed").isEmpty():
+            return stored, current
+        name = f"rows_{1 + int(current['tables'][-1].rpartition('_')[2])}"
+        found.drop("changed").write.mode("error").parquet(os.path.join(folder, name))
+        current = {"status": "ready", "tables": [name]}
+        manifest.write_json(self.spark, os.path.join(folder, manifest.MANIFEST), current)
+        return self.spark.read.parquet(os.path.join(folder, name)), current
+
     def _scenes(self, kind: str) -> DataFrame:
         folder = self.config.folder(f"scenes_{kind}")
         current = manifest.read_json(self.spark, os.path.join(folder, manifest.MANIFEST))
@@ -210,7 +252,8 @@ class Pipeline:
             full = index.select("item_idx", sources.alias("source")).join(means, ["source", "item_idx"], "left")
             return {"rows": rows, "items": items, "vocabulary": vectors, "features": full.select("source", "item_idx", F.coalesce("vector", zeros).alias("vector")), "summary": cohort.split_summary(cohort.leave_one_out(kept))}
 
-        return self._step("representations", {"experiments": list(map(list, c.experiments)), "cohort": [c.min_events, c.retained, c.history], "dimensions": c.dimensions}, make)
+        return self._step("representations", {"experiments": list(map(list, c.experiments)), "settings": [c.min_events, c.retained, c.history], "dimensions": c.dimensions, "cohort": self._made_from("cohort"),
+            "scenes": self._scene_identity(sorted({source for _, source in c.experiments} - {"metadata"})), "encoder": getattr(self.encoder, "identity", getattr(self.encoder, "__qualname__", "digest"))}, make)
 
     # 6
     def prepare_module(self) -> dict[str, DataFrame]:
@@ -236,7 +279,7 @@ class Pipeline:
             found = training.evaluate_runs(built["rows"].where("position > 0"), features, runs, c.training)
             return {"per_event_metrics": found.select("*", *ranking.metrics(F.col("rank")))}
 
-        return self._step("recommendations", {"experiments": list(map(list, c.experiments)), "seeds": list(c.seeds), "training": vars(c.training)}, make)
+        return self._step("recommendations", {"experiments": list(map(list, c.experiments)), "seeds": list(c.seeds), "training": vars(c.training), "representations": self._made_from("representations")}, make)
 
     # 8
     def run_diagnosis(self) -> str:

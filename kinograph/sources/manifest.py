@@ -33,15 +33,16 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Writes an object beside ``path`` and renames it, so a reader finds the old one or the new one."""
+    """Writes an object beside ``path`` and renames it over the old one in one operation, so a reader finds the old or the new one."""
     fs, target = _fs(spark, path)
-    temporary = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    hadoop = spark._jvm.org.apache.hadoop
+    temporary = hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     out = fs.create(temporary, True)
     out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=1, allow_nan=False).encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(temporary, target)
+    options = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
+    options[0] = hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(temporary), fs.makeQualified(target), options)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
@@ -57,6 +58,21 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
     return json.loads(text)
 
 
+def file_identity(spark: SparkSession, path: str | None) -> list | None:
+    """Names, lengths and times of the files at a path (a file, or a folder's files); None for no path."""
+    if not path:
+        return None
+    fs, target = _fs(spark, path)
+    if not fs.exists(target):
+        return [path]
+    return [path, *sorted([str(f.getPath().getName()), f.getLen(), f.getModificationTime()] for f in fs.listStatus(target))]
+
+
+def identity_of(spark: SparkSession, folder: str) -> str | None:
+    """The identity that a folder was published with."""
+    return (read_json(spark, os.path.join(folder, MANIFEST)) or {}).get("identity")
+
+
 def publish(tables: dict[str, DataFrame], folder: str, identity: dict) -> None:
     """Writes tables to ``folder`` and, after all of them, the manifest that names them; an old manifest goes first."""
     spark = next(iter(tables.values())).sparkSession
