@@ -17,6 +17,8 @@ from kinograph.session import map_arrow, written
 LEVELS = (1, 2, 3, 4)
 #: Labelled documents from which the model is fitted, at most (those with the smallest hash of their id), and words in it.
 MAX_LABELLED, MAX_WORDS = 20_000, 200_000
+#: Parts of the labelled documents; each one's shares are measured with the grades that the others give.
+FOLDS = 5
 #: A word is acquired at the first level by which it has had this share of its use, all levels read equally much.
 ACQUIRED = 0.18
 #: Labelled documents that must hold a word for it to be known.
@@ -95,49 +97,64 @@ def calibrated_quantile(shares: np.ndarray, above: np.ndarray) -> float:
 
 
 def _labelled(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """``text, votes`` of the labelled documents: the share of its valid labels for each level."""
+    """``text, votes, fold`` of the labelled documents: the share of its valid labels for each level, and its part."""
     valid = labels.select("doc_id", F.col("level").cast("int").alias("level")).where(F.col("level").isin(*LEVELS) & F.col("doc_id").isNotNull())
     votes = valid.groupBy("doc_id").agg(F.array(*(F.avg((F.col("level") == k).cast("double")) for k in LEVELS)).alias("votes"))
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", "votes")
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    return texts.select("text", "votes", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))  # copies are in the same part
 
 
 def _word_use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word: labelled texts holding it and its summed frequency in the texts of each level."""
-    use: dict[str, np.ndarray] = {}
+    """For each word and part: labelled texts holding it and its summed frequency in the texts of each level."""
+    use: dict[tuple[str, int], np.ndarray] = {}
     for batch in batches:
-        for text, votes in zip(batch.column("text").to_pylist(), batch.column("votes").to_pylist(), strict=True):
+        for text, votes, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "votes", "fold")), strict=True):
             words = words_of(text)
             total = sum(words.values())
             for word, n in words.items():
-                row = use.setdefault(word, np.zeros(1 + len(LEVELS)))
+                row = use.setdefault((word, fold), np.zeros(1 + len(LEVELS)))
                 row[0] += 1
                 row[1:] += np.array(votes) * n / total
     table = np.array(list(use.values())).reshape(-1, 1 + len(LEVELS))
-    yield pa.RecordBatch.from_arrays([pa.array(list(use), pa.string()), *(pa.array(table[:, k]) for k in range(1 + len(LEVELS)))], ["word", "texts", *(f"use{k}" for k in LEVELS)])
+    names = [pa.array([w for w, _ in use], pa.string()), pa.array([f for _, f in use], pa.int32())]
+    yield pa.RecordBatch.from_arrays([*names, *(pa.array(table[:, k]) for k in range(1 + len(LEVELS)))], ["word", "fold", "texts", *(f"use{k}" for k in LEVELS)])
+
+
+def _grades(texts: np.ndarray, use: np.ndarray, read: np.ndarray, words: list[str]) -> dict[str, int]:
+    """Grades of the words that enough texts hold. ``use``: words x levels; ``read``: how much was read of each level."""
+    return {words[k]: acquisition_grade(use[k] / np.maximum(read, 1e-9)) for k in np.flatnonzero((texts >= MIN_DOCUMENTS) & (use.sum(axis=1) > 0))}
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS) -> ReadingModel:
     """Grades of words and quantiles of levels from ``documents`` (``doc_id, text``) and ``labels`` (``doc_id, level``).
 
-    Levels that are null or not 1 to 4 do not count; raters who differ count in part. At most ``max_labelled`` labelled
+    Quantiles are calibrated on held-out texts: the shares of each are measured with grades from the other parts of the labelled
+    documents. Levels that are null or not 1 to 4 do not count; raters who differ count in part. At most ``max_labelled`` labelled
     documents, and the ``max_words`` words in most of them, are used; what reaches the driver is bounded by both.
     Without any label, no word is known and every text has level 1.
     """
     chosen = written(_labelled(documents, labels, max_labelled), "labelled")
     uses = [f"use{k}" for k in LEVELS]
-    counted = map_arrow(chosen, _word_use, "word string, texts double, " + ", ".join(f"{u} double" for u in uses))
-    summed = counted.groupBy("word").agg(F.sum("texts").alias("texts"), *(F.sum(u).alias(u) for u in uses)).where(F.col("texts") >= MIN_DOCUMENTS)
-    rows = summed.orderBy(F.desc("texts"), "word").limit(max_words).collect()
-    votes = np.array([r.votes for r in chosen.select("votes").collect()]).reshape(-1, len(LEVELS))
-    read = np.maximum(votes.sum(axis=0), 1e-9)
-    grades = {r.word: acquisition_grade(np.array([r[u] for u in uses]) / read) for r in rows}
-
-    model = ReadingModel(grades, (0.5,) * (len(LEVELS) - 1))
+    counted = map_arrow(chosen, _word_use, "word string, fold int, texts double, " + ", ".join(f"{u} double" for u in uses))
+    parts = F.collect_list(F.struct("fold", "texts", F.array(*uses).alias("use")))
+    summed = counted.groupBy("word", "fold").agg(F.sum("texts").alias("texts"), *(F.sum(u).alias(u) for u in uses)).groupBy("word").agg(F.sum("texts").alias("n"), parts.alias("parts"))
+    rows = summed.where(F.col("n") >= MIN_DOCUMENTS).orderBy(F.desc("n"), "word").limit(max_words).collect()
+    texts, use = np.zeros((FOLDS, len(rows))), np.zeros((FOLDS, len(rows), len(LEVELS)))
+    for k, row in enumerate(rows):
+        for part in row.parts:
+            texts[part.fold, k], use[part.fold, k] = part.texts, part.use
+    read = np.zeros((FOLDS, len(LEVELS)))
+    for row in chosen.groupBy("fold").agg(F.array(*(F.sum(F.col("votes")[k]) for k in range(len(LEVELS)))).alias("read")).collect():
+        read[row.fold] = row.read
+    words = [r.word for r in rows]
+    grades = _grades(texts.sum(axis=0), use.sum(axis=0), read.sum(axis=0), words)
+    median = (0.5,) * (len(LEVELS) - 1)
+    others = [ReadingModel(_grades(texts.sum(axis=0) - texts[f], use.sum(axis=0) - use[f], read.sum(axis=0) - read[f], words), median) for f in range(FOLDS)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shares = [list(model.shares(words_of(t))) for t in batch.column("text").to_pylist()]
+            shares = [list(others[f].shares(words_of(t))) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(shares, pa.list_(pa.float64())), batch.column("votes")], ["shares", "votes"])
 
     measured = map_arrow(chosen, measure, "shares array<double>, votes array<double>").collect()
