@@ -86,6 +86,9 @@ def test_run_comparison(spark):
     assert tuple(D.compare_runs(one, two, ["user", "arm"], "m").first()) == ("a", 2, 0.25)
     with pytest.raises(ValueError):
         D.compare_runs(one, two.limit(1), ["user", "arm"], "m")
+    for left, right in ((one.withColumn("seed", F.lit(1)), two.withColumn("seed", F.lit(2))), (one.withColumn("split", F.lit("a")), two)):
+        with pytest.raises(ValueError):
+            D.compare_runs(left, right, ["user", "arm"], "m")
 
 
 @pytest.mark.parametrize(

@@ -4,6 +4,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from kinograph.functions import graphtext
 from kinograph.functions import sampling as M
 from kinograph.functions.activity import activity_key
 from kinograph.operators import outcomes as O
@@ -118,3 +119,24 @@ def test_repeated_lines(spark):
     df = spark.createDataFrame([("a\nb\na",), ("a\nb",), ("a",), ("a\na\nb\nb",)], "t string")
     got = [tuple(r) for r in df.select(O.repeated_line(F.col("t")), O.drop_repeated_last_line(F.col("t"))).collect()]
     assert got == [(2, "a\nb"), (None, "a\nb"), (None, "a"), (1, "a\na\nb")]
+
+
+def test_keyframe_fallbacks(spark, rows):
+    schema = "content_id string, scene_idx int, position int, timeline array<struct<timestamp: double>>, keyframe_timestamps array<double>, keyframes_given array<double>"
+    scenes = [
+        ("a", 0, 0, [(7.59,), (2.5,), (2.55,)], [1.0], None), ("a", 1, 1, [(7.5,), (None,)], [3.0, -1.0, None, 1.26], None), ("a", 2, 2, [], [], [float("nan"), 4.0]), ("a", None, 1, None, None, None), ("a", 9, 4, None, [], []),
+    ]
+    windows = spark.createDataFrame([("a", 0, [25, 75]), ("a", 1, [325])], "content_id string, scene_idx int, keyframe_ticks array<long>")
+    found = M.keyframe_fallbacks(spark.createDataFrame(scenes, schema), windows)
+    assert rows(found, "position", "keyframes") == [(0, [2.5, 7.5]), (1, [1.2, 3.0]), (1, [32.5]), (2, [4.0]), (4, [])]
+    bounds = spark.createDataFrame([("3.5", 1.0, 0), (None, 2.0, 0), ("x", 2.0, 7), (None, None, 7)], "own string, planned double, other int")
+    assert [r[0] for r in bounds.select(M.scene_bound(F.col("own"), F.col("planned"), F.col("other"))).collect()] == [3.5, 2.0, 7.0, 7.0]
+
+
+def test_stored_rows_are_read_again(spark, rows):
+    good = "[Context]\nmedium: a\nformat: b\ntopics: none\n[Entities]\ncook\n[Actions]\ncook -> stirring -> pot; none; unknown"
+    kind = f"k int, raw_output string, error string, tags array<string>, mode string, graph {graphtext.GRAPH_TYPE}"
+    data = [(1, good, None, ["PARSE_FAILED"], None, None), (2, good, "lost", ["PARSE_FAILED"], None, None), (3, "nothing", None, ["PARSE_FAILED"], None, None), (4, good, None, ["TOKEN_LIMIT"], None, None), (5, None, None, ["PARSE_FAILED"], None, None)]
+    found = O.reclassified(spark.createDataFrame(data, kind))
+    assert rows(found, "k", "changed", "mode") == [(1, True, "repaired"), (2, False, None), (3, False, None), (4, False, None), (5, False, None)]
+    assert found.where("changed").first().tags == [] and found.where("k = 4").first().tags == ["TOKEN_LIMIT"] and found.columns == ["k", "raw_output", "error", "tags", "mode", "graph", "changed"]

@@ -55,6 +55,46 @@ def test_all_steps_and_resume(spark, source, tmp_path):
     assert again.run() == report and calls.value == scenes.count() + 1
 
 
+def test_changed_interactions_are_seen_by_all_later_steps(spark, source, tmp_path):
+    log = tmp_path / "pairs.csv"
+    log.write_text((source / "pairs.csv").read_text())
+    settings = {"titles": str(source / "titles.csv"), "supplement": str(source / "more.csv"), "media": str(source / "media"), "seeds": (1,), "draws": 20, "dimensions": 8}
+    pipeline = Pipeline(spark, Config(root=str(tmp_path / "out"), interactions=str(log), experiments=(("titles", "metadata"),), training=T.Training(width=4, epochs=1), **settings), duration=lambda path: 31.0)
+    names = ("cohort", "windows", "representations", "recommendations", "diagnosis")
+
+    def made():
+        pipeline.run()
+        return [pipeline._made_from(n) for n in names]
+
+    first = made()
+    assert made() == first
+    log.write_text(log.read_text() + "3,101,99000\n")
+    second = made()
+    assert all(a != b for a, b in zip(first, second, strict=True)) and pipeline._load("cohort")["events"].count() == 38
+
+
+def test_mapped_movies_need_titles(spark, tmp_path):
+    (tmp_path / "ratings.dat").write_text("".join(f"1::{i}::4.0::{i}\n" for i in (1, 2, 3)))
+    (tmp_path / "movies.dat").write_text("".join(f"{i}::M{i}::x\n" for i in (1, 2)))
+    (tmp_path / "map.tsv").write_text("newID\toldID\n0\t1\n1\t2\n")
+    (tmp_path / "media").mkdir()
+    for i in (1, 2):
+        (tmp_path / "media" / f"{i}.mp4").write_bytes(b"x")
+    settings = {"ratings": str(tmp_path / "ratings.dat"), "movies": str(tmp_path / "movies.dat"), "id_map": str(tmp_path / "map.tsv"), "media": str(tmp_path / "media")}
+    assert Pipeline(spark, Config(root=str(tmp_path / "out"), **settings)).prepare_cohort()["events"].count() == 2
+    (tmp_path / "map.tsv").write_text("newID\toldID\n0\t1\n1\t3\n")
+    with pytest.raises(ValueError, match="without a title"):
+        Pipeline(spark, Config(root=str(tmp_path / "out2"), **settings)).prepare_cohort()
+
+
+def test_settings_that_are_not_known(tmp_path):
+    path = tmp_path / "config.json"
+    for more in ({"colour": 1}, {"training": {"depth": 3}}, {"experiments": [{"label": "a", "source": "graph", "modules": ["REAF"]}]}, {"experiments": [{"label": "../a", "source": "graph"}]}):
+        path.write_text(json.dumps({"root": "x"} | more))
+        with pytest.raises(ValueError):
+            cli.load_config(str(path))
+
+
 def test_missing_media_stop_the_cohort(spark, source, tmp_path):
     (tmp_path / "media").mkdir()
     broken = Config(root=str(tmp_path / "out"), interactions=str(source / "pairs.csv"), titles=str(source / "titles.csv"), media=str(tmp_path / "media"))
