@@ -44,13 +44,15 @@ HELD_USERS = 256
 
 def weights(users: np.ndarray, draws: int) -> np.ndarray:
     """How often each user, given by 32 hash bits, is drawn in each resample: users x draws."""
-    x = (users.astype(np.uint64)[:, None] + np.arange(draws, dtype=np.uint64)[None, :] * np.uint64(STRIDE)) & np.uint64(0xFFFFFFFF)
+    x = users.astype(np.uint32)[:, None] + np.arange(draws, dtype=np.uint32)[None, :] * np.uint32(STRIDE)  # all modulo 2**32
     for _ in range(2):
-        x ^= x >> np.uint64(16)
-        x *= np.uint64(MIXER)
-        x &= np.uint64(0xFFFFFFFF)
-    x ^= x >> np.uint64(16)
-    return np.searchsorted(np.array(POISSON, np.uint64), x, side="right")
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(MIXER)
+    x ^= x >> np.uint32(16)
+    drawn = np.zeros(x.shape, np.uint8)
+    for limit in POISSON:
+        drawn += x >= np.uint32(limit)
+    return drawn
 
 
 def bootstrap(values: DataFrame, draws: int, seed: int = 42) -> DataFrame:
@@ -72,10 +74,14 @@ def bootstrap(values: DataFrame, draws: int, seed: int = 42) -> DataFrame:
                 lists = part.column("arms")
                 user = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 arms, value = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("arm", "value"))
-                for arm in set(arms.tolist()):
-                    chosen = np.flatnonzero((arms == arm) & ~np.isnan(value))
-                    rows = np.stack([value[chosen], np.ones(len(chosen))]) @ drawn[user[chosen]]
-                    sums[arm] = sums[arm] + rows if arm in sums else rows
+                names, arm = np.unique(arms.astype(str), return_inverse=True)
+                there = ~np.isnan(value.astype(np.float64))
+                table = np.zeros((2, len(names), part.num_rows))  # summed values and numbers
+                np.add.at(table[0], (arm[there], user[there]), value[there])
+                np.add.at(table[1], (arm[there], user[there]), 1)
+                rows = (table.reshape(-1, part.num_rows) @ drawn).reshape(2, len(names), draws)
+                for k, name in enumerate(names.tolist()):
+                    sums[name] = sums[name] + rows[:, k] if name in sums else rows[:, k]
         for arm, (total, n) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), pa.array([arm] * draws, pa.string()), pa.array(total), pa.array(n)], ["draw", "arm", "s", "n"])
 
