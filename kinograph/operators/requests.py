@@ -11,12 +11,13 @@ def scene_evidence(windows: DataFrame, frames: DataFrame) -> DataFrame:
     """``content_id, scene_idx, task_id, scene_start, scene_end, paths, missing``: of each window its frames in the order of time.
 
     ``windows``: as from ``sampling.fixed_windows``; ``frames``: ``content_id, stem, path`` of the files that are there. ``missing``
-    counts keyframes without a file. Scenes without any frame are kept, with no paths.
+    counts keyframes without a file. Scenes without any frame are kept, with no paths. Frames are never broadcast: a plan takes rows
+    opened from a video for as small as the list of videos.
     """
     from kinograph.functions.sampling import stem
 
     wanted = windows.select("content_id", "scene_idx", "scene_start", "scene_end", F.posexplode("keyframe_ticks").alias("k", "tick")).withColumn("stem", stem(F.col("tick")))
-    found = wanted.join(frames.select("content_id", "stem", "path"), ["content_id", "stem"], "left")
+    found = wanted.join(frames.select("content_id", "stem", "path").hint("merge"), ["content_id", "stem"], "left")
     listed = F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("k", "path"))))
     grouped = found.groupBy("content_id", "scene_idx", "scene_start", "scene_end").agg(listed.getField("path").alias("paths"), F.count_if(F.col("path").isNull()).alias("missing"))
     task = F.concat_ws(":", "content_id", "scene_idx")

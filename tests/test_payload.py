@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinograph.functions import payload as P
-from kinograph.functions.sampling import fixed_windows
+from kinograph.functions.sampling import fixed_windows, keyframes
 from kinograph.operators import requests as R
 from kinograph.sources.readers import SCENE_SCHEMA
 
@@ -62,3 +62,13 @@ def test_requests(spark, rows):
     assert rows(R.unanswered(evidence, answers)) == [("v:0", "repeated"), ("v:1", "missing"), ("w:0", "unknown")]
     times = spark.createDataFrame([("v", 1.0), ("v", 2.0), ("v", 2.0), ("w", 5.0)], "content_id string, timestamp double")
     assert rows(R.last_but_one_frame(times)) == [("v", 1.0), ("w", 5.0)]
+
+
+def test_frames_are_not_broadcast(spark, rows, tmp_path):
+    """A plan takes the frames of a small file of videos for small, however long the videos are."""
+    spark.createDataFrame([("v", 3000.0), ("w", 31.0)], "content_id string, duration_seconds double").write.parquet(str(tmp_path / "videos"))
+    windows = fixed_windows(spark.read.parquet(str(tmp_path / "videos")))
+    frames = keyframes(windows).where("content_id = 'v'").select("content_id", "stem").distinct().withColumn("path", F.col("stem"))
+    evidence = R.scene_evidence(windows, frames)
+    assert "Broadcast" not in evidence._jdf.queryExecution().executedPlan().toString()
+    assert rows(evidence.groupBy("content_id").agg(F.count("*"), F.sum(F.size("paths")), F.sum("missing"))) == [("v", 100, 600, 0), ("w", 2, 0, 7)]
