@@ -67,11 +67,8 @@ def inbatch_negative_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inbatch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch, index, kept = _batches(spark, sf_dir)
     items = catalog_vectors(spark, sf_dir, index)
-    users = R.user_vectors(batch.select("event_id", "target", "history"), items, DIMENSIONS)
-    targets = items.select(F.col("item_idx").alias("target"), F.col("vector").alias("target_vector"))
-    vectors = users.join(targets, "target").select("event_id", F.col("vector").alias("user_vector"), "target_vector")
     log_q = K.popularity(K.leave_one_out(kept)).join(index, "item").select(F.col("item_idx").alias("target"), "log_q")
-    return R.in_batch_loss(batch, vectors, log_q, 1e7).withColumn("loss", F.round("loss", 6))
+    return R.history_loss(batch, items, log_q, DIMENSIONS, 1e7).withColumn("loss", F.round("loss", 6))
 
 
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,43 @@ def test_loss_equals_numpy(spark):
     assert math.isclose(R.in_batch_loss(batch, vectors, q, 10.0).first().loss, loss, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("group", [1, 256])
+def test_loss_of_histories(spark, group):
+    """Rows of three batches, an item of zeros, one without a catalog row, padded histories; item 6 has two vectors, as in a join."""
+    rng = np.random.default_rng(5)
+    n, d = 30, 3
+    items = {k: [rng.integers(-9, 9, d)] for k in range(1, 9)} | {7: [np.zeros(d, np.int64)]}
+    items[6].append(rng.integers(-9, 9, d))
+    log_q = {t: math.log(t / 50) for t in range(1, 10)}  # 9 has no row
+    cases = [(k // 12, k % 12, int(rng.integers(1, 10)), rng.integers(0, 10, 4).tolist()) for k in range(n)]
+    batch = spark.createDataFrame(cases, "batch_id long, row long, target long, history array<long>")
+    table = spark.createDataFrame([(k, v.tolist()) for k, vs in items.items() for v in vs] + [(9, [0] * d)], "item_idx long, vector array<long>")
+    q = spark.createDataFrame(list(log_q.items()), "target long, log_q double")
+    found = {r.batch_id: r.loss for r in R.history_loss(batch, table, q, d, 10.0, group).collect()}
+    for b in range(3):
+        rows, losses = [c for c in cases if c[0] == b], []
+        for _, row, target, history in rows:
+            user = sum((v for h in history if h for v in items.get(h, [])), np.zeros(d))
+            logits = [
+                (other == row, -10000.0 if other != row and (t in history or t == target) else float(user @ v) / 10 - log_q[t])
+                for _, other, t, _ in rows for v in items.get(t, [np.zeros(d)])
+            ]
+            own = [x for mine, x in logits if mine]
+            losses.append(math.log(len(own) * sum(math.exp(x) for _, x in logits)) - max(own))
+        assert math.isclose(found[b], sum(losses) / len(losses), rel_tol=1e-9)
+
+
+def test_loss_needs_log_q_and_no_pairs_of_rows(spark):
+    batch = spark.createDataFrame([(0, 0, 1, [2]), (0, 1, 2, [0])], "batch_id long, row long, target long, history array<long>")
+    table = spark.createDataFrame([(1, [1, 2]), (2, [3, 4])], "item_idx long, vector array<long>")
+    q = spark.createDataFrame([(1, -1.0)], "target long, log_q double")
+    loss = R.history_loss(batch, table, q, 2, 10.0)
+    with pytest.raises(Exception, match="a target has no log_q"):
+        loss.collect()
+    plan = loss._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any("batch_id" in line for line in plan.splitlines() if "Join" in line)
+
+
 def test_seed_summary_and_relative_change(spark):
     data = [("a", s, u, v) for s, values in enumerate(((1.0, 3.0), (3.0, 5.0))) for u, v in enumerate(values)] + [("b", 0, 0, 6.0), ("z", 0, 0, 0.0)]
     metrics = spark.createDataFrame(data, "arm string, seed int, user long, m double")
